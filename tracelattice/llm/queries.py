@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op3_quality_rules": quality.op3,
+    "op6_bpe": bpe.op6,
     "op9_simhash_near_dedup": simhash.op9,
 }
 ORACLES: dict[str, str] = {}
