@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, toxicity
+from . import bpe, neighbours, quality, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op3_quality_rules": quality.op3,
+    "op5_permutation_index": neighbours.op5,
     "op6_bpe": bpe.op6,
     "op9_simhash_near_dedup": simhash.op9,
 }
