@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, neighbours, quality, simhash, toxicity
+from . import bpe, neighbours, quality, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_training_shards": shards.op2,
     "op3_quality_rules": quality.op3,
+    "op4_warc_dictionary": warc.op4,
     "op5_permutation_index": neighbours.op5,
     "op6_bpe": bpe.op6,
     "op9_simhash_near_dedup": simhash.op9,
