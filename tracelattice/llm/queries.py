@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, neighbours, quality, shards, simhash, toxicity, warc
+from . import bpe, lines, neighbours, packing, quality, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_warc_dictionary": warc.op4,
     "op5_permutation_index": neighbours.op5,
     "op6_bpe": bpe.op6,
+    "op7_line_dedup": lines.op7,
     "op9_simhash_near_dedup": simhash.op9,
+    "op10_best_fit_packing": packing.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_line_dedup": lines.ORACLE}
