@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, neighbours, packing, quality, shards, simhash, toxicity, warc
+from . import bpe, lines, neighbours, packing, quality, shards, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_permutation_index": neighbours.op5,
     "op6_bpe": bpe.op6,
     "op7_line_dedup": lines.op7,
+    "op8_collinear_chaining": substring.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_best_fit_packing": packing.op10,
 }
