@@ -151,12 +151,12 @@ class Encoder:
             self.memory[piece] = found
         return found
 
-    def encode_parts(self, text: str) -> tuple[list[bytes], list[str]]:
+    def encode_parts(self, text: str, marks: bool = True) -> tuple[list[bytes], list[str]]:
         """Ids as int32 bytes, and as decimals joined by commas, piece by piece."""
         ids: list[bytes] = []
         shown: list[str] = []
         memory = self.memory
-        for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
+        for k, part in enumerate(self.marks.split(text) if marks and self.marks else [text]):
             if k % 2:
                 i = self.special[part]
                 ids.append(np.int32(i).tobytes())
@@ -173,6 +173,10 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_parts(text or "")[0]), np.int32)
 
+    def encode_ordinary(self, text: str | None) -> np.ndarray:
+        """As ``encode``, but special tokens' strings are ordinary text."""
+        return np.frombuffer(b"".join(self.encode_parts(text or "", marks=False)[0]), np.int32)
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, gathered from one table by their offsets."""
         ids = np.asarray(ids, np.int64)

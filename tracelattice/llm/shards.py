@@ -11,6 +11,7 @@ s stands at a fixed offset, so reading is sequential and can resume at any slot.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -54,25 +55,37 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: The vocabulary's rule for pieces of text, with possessive repeats (fixed value).
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space in a row that the fast encoder's stack can't hold for certain.
+_GAP = re.compile(r"\s{4096}")
+
+
 @lru_cache(maxsize=2)
 def _tiktoken(path: str):
     import base64
 
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
 def _tokens(column: pa.Array, path: str | None) -> Iterator[list[int]]:
-    """Ids of each text; null and empty texts have none."""
-    from .bpe import vocabulary_path
+    """Ids of each text, special tokens' strings as ordinary text; null and empty texts have none.
+
+    A text with very long white space goes to the backtracking encoder, which gives
+    the same ids without recursion.
+    """
+    from .bpe import encoder, vocabulary_path
 
-    coder = _tiktoken(path or vocabulary_path(VOCABULARY))
-    for value in column:
-        yield coder.encode_ordinary(value.as_py() or "")
+    encode = _tiktoken(path or vocabulary_path(VOCABULARY)).encode_ordinary
+    for text in column.to_numpy(zero_copy_only=False):
+        if text is not None and len(text) > 4096 and _GAP.search(text):
+            yield encoder(vocabulary_path()).encode_ordinary(text).tolist()
+        else:
+            yield encode(text or "")
 
 
 def _counter(length: int, path: str | None):
@@ -107,24 +120,27 @@ def _sequencer(first: dict[int, int], counts: dict[int, int], n: int, length: in
             ], ["shard", "slot", "sequence", "n_tokens", "data", "documents"])
 
         for batch in batches:
-            ready = []
+            parts, ready = [held], []
+            filled = len(held)
             for doc, ids in zip(batch.column(0).to_pylist(), _tokens(batch.column(1), path)):
-                stream = np.array([*ids, END], np.uint16)
-                seen += len(stream)
-                begin = 0
-                while begin < len(stream):
-                    take = min(length - len(held), len(stream) - begin)
-                    spans.append({"doc_id": doc, "start": len(held), "tokens": take})
-                    held = np.concatenate([held, stream[begin : begin + take]])
-                    begin += take
-                    if len(held) == length:
-                        ready.append((held, length, spans))
-                        held, spans = np.empty(0, np.uint16), []
-                if len(ready) >= 512:
-                    yield rows(ready)
-                    ready = []
-            if ready:
-                yield rows(ready)
+                ids.append(END)
+                parts.append(np.array(ids, np.uint16))
+                rest = len(ids)
+                seen += rest
+                while rest:
+                    take = min(length - filled, rest)
+                    spans.append({"doc_id": doc, "start": filled, "tokens": take})
+                    rest -= take
+                    filled += take
+                    if filled == length:
+                        ready.append(spans)
+                        filled, spans = 0, []
+            stream = np.concatenate(parts)
+            whole = len(ready) * length
+            held = stream[whole:].copy()
+            for k in range(0, len(ready), 512):
+                some = ready[k : k + 512]
+                yield rows([(stream[(k + i) * length : (k + i + 1) * length], length, x) for i, x in enumerate(some)])
         if len(held):
             yield rows([(np.concatenate([held, np.full(length - len(held), END, np.uint16)]), len(held), spans)])
         if seen != counts.get(part, 0):
@@ -172,6 +188,9 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
+_ROWS = "shard int, slot long, sequence long, n_tokens int, offset long, crc32 long, documents array<struct<doc_id:bigint,start:int,tokens:int>>"
+
+
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY, path: str | None = None) -> DataFrame:
     """Writes the shards below ``folder``; a row for each sequence.
 
@@ -194,7 +213,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, slots: int =
     made = source.mapInArrow(_sequencer(first, counts, n, length, slots, key, path), schema)
     ranges = max(1, -(-n // slots))
     made = made.repartitionById(ranges, F.col("shard")).sortWithinPartitions("shard", "slot")
-    return checkpoint(made.mapInArrow(_writer(folder, length, slots), "shard int, slot long, sequence long, n_tokens int, offset long, crc32 long, documents array<struct<doc_id:bigint,start:int,tokens:int>>"))
+    return checkpoint(made.mapInArrow(_writer(folder, length, slots), _ROWS))
 
 
 def read_shard(uri: str, length: int = LENGTH, skip: int = 0) -> Iterator[np.ndarray]:
@@ -206,23 +225,38 @@ def read_shard(uri: str, length: int = LENGTH, skip: int = 0) -> Iterator[np.nda
             yield np.frombuffer(raw, "<u2")
 
 
-def read_back(spark, folder: str, shards: int, length: int = LENGTH, slots: int = SLOTS) -> DataFrame:
-    """(slot, crc32) of every sequence, read from the shards."""
+def read_back(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
+    """``rows`` of ``materialise`` with ``read_crc32`` of what the shards hold at their offsets.
+
+    The rows lie in the order of their slots, so each shard is read from its
+    beginning; a row out of that order costs a seek.
+    """
+    stride = length * _WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        now, due, file = -1, 0, None
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                sums = [zlib.crc32(s.tobytes()) for s in read_shard(f"{folder}/{shard_name(shard)}", length)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard * slots + np.arange(len(sums))), pa.array(sums, pa.int64())], ["slot", "crc32"])
+            sums = []
+            for shard, offset in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                if shard != now:
+                    if file is not None:
+                        file.close()
+                    now, due, file = shard, 0, fs.open_input_file(f"{root}/{shard_name(shard)}")
+                if offset != due:
+                    file.seek(offset)
+                sums.append(zlib.crc32(file.read(stride)))
+                due = offset + stride
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*batch.schema.names, "read_crc32"])
+        if file is not None:
+            file.close()
 
-    return spark.range(0, shards, 1, max(1, shards)).mapInArrow(run, "slot long, crc32 long")
+    return rows.mapInArrow(run, f"{_ROWS}, read_crc32 long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """A row for each sequence, in the shards and read back from them: ``read_crc32`` comes from the files."""
+    """A row for each sequence in the shards, in which ``read_crc32`` was read back from the files."""
     folder = shared_folder(spark, "shards")
-    rows = materialise(table(spark, sf_dir, "documents"), folder)
-    shards = rows.select(F.coalesce(F.max("shard") + 1, F.lit(0)).alias("n")).first()["n"]
-    back = checkpoint(read_back(spark, folder, shards).withColumnRenamed("crc32", "read_crc32"))
+    back = checkpoint(read_back(materialise(table(spark, sf_dir, "documents"), folder), folder))
     remove_folder(spark, folder)
-    return rows.join(back, "slot").select("slot", "shard", "offset", "sequence", "n_tokens", "crc32", "read_crc32", "documents")
+    return back.select("slot", "shard", "offset", "sequence", "n_tokens", "crc32", "read_crc32", "documents")
