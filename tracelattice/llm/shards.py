@@ -69,10 +69,10 @@ def _tiktoken(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END})
 
 
-def _tokens(column: pa.Array, path: str | None) -> Iterator[list[int]]:
+def _tokens(column: pa.Array, path: str | None) -> Iterator[np.ndarray]:
     """Ids of each text, special tokens' strings as ordinary text; null and empty texts have none.
 
     A text with very long white space goes to the backtracking encoder, which gives
@@ -80,12 +80,12 @@ def _tokens(column: pa.Array, path: str | None) -> Iterator[list[int]]:
     """
     from .bpe import encoder, vocabulary_path
 
-    encode = _tiktoken(path or vocabulary_path(VOCABULARY)).encode_ordinary
+    encode = _tiktoken(path or vocabulary_path(VOCABULARY)).encode_to_numpy  # without a Python number for each token
     for text in column.to_numpy(zero_copy_only=False):
         if text is not None and len(text) > 4096 and _GAP.search(text):
-            yield encoder(vocabulary_path()).encode_ordinary(text).tolist()
+            yield encoder(vocabulary_path()).encode_ordinary(text)
         else:
-            yield encode(text or "")
+            yield encode(text or "", disallowed_special=())
 
 
 def _counter(length: int, path: str | None):
@@ -105,7 +105,7 @@ def _sequencer(first: dict[int, int], counts: dict[int, int], n: int, length: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=1)
-        held = np.empty(0, np.uint16)
+        held, mark = np.empty(0, np.uint16), np.array([END], np.uint16)
         spans: list[dict] = []
         at = seen = 0
 
@@ -123,9 +123,8 @@ def _sequencer(first: dict[int, int], counts: dict[int, int], n: int, length: in
             parts, ready = [held], []
             filled = len(held)
             for doc, ids in zip(batch.column(0).to_pylist(), _tokens(batch.column(1), path)):
-                ids.append(END)
-                parts.append(np.array(ids, np.uint16))
-                rest = len(ids)
+                parts += (ids.astype(np.uint16), mark)
+                rest = len(ids) + 1
                 seen += rest
                 while rest:
                     take = min(length - filled, rest)
