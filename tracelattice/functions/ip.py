@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -56,7 +57,7 @@ def ipv4_text(number: Column) -> Column:
     return F.when(number.between(0, 4294967295), F.concat_ws(".", part(24), part(16), part(8), part(0)))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def ipv6_bytes(text: pd.Series) -> pd.Series:
     """The address as 16 bytes; null where the text is none (zones are none)."""
 
@@ -69,7 +70,7 @@ def ipv6_bytes(text: pd.Series) -> pd.Series:
     return text.map(parsed, na_action=None)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ipv6_text(packed: pd.Series) -> pd.Series:
     """Compressed text of 16 bytes."""
     return packed.map(lambda b: None if b is None else str(ipaddress.IPv6Address(bytes(b))))
