@@ -71,6 +71,16 @@ def string_column(df: DataFrame, name: str):
     return F.col(f"`{name}`").cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """``columns`` and the whole row in a struct ``row``, so that no name of ``df`` can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> list:
+    """The columns of ``row`` under their own names, those in ``changed`` replaced."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

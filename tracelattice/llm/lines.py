@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table
+from .base import checkpoint, packed, table, unpacked
 
 #: Lines of the shortest run that is found: the width of the winnowing window.
 RUN = 3
@@ -21,8 +21,13 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the order of documents: doc_id (null first), then the text's hash."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
+    """(row, doc, hash): the order of documents is doc_id (null first), then the text's hash."""
+    text = F.col("text").cast("string")
+    return packed(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), hash=F.xxhash64(text))
+
+
+def _text():
+    return F.col("row").getField("text").cast("string")
 
 
 def _raw(column):
@@ -36,21 +41,21 @@ def winnow(docs: DataFrame, run: int = RUN) -> DataFrame:
     ``run - 1`` before the fingerprint to ``run - 1`` after it; ``at`` is the
     fingerprint's place in it, from 1.
     """
-    lines = F.transform(_raw(F.col("text").cast("string")), lambda x, i: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), i.alias("i")))
+    lines = F.transform(_raw(_text()), lambda x, i: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), i.alias("i")))
     lines = F.filter(lines, lambda x: x["t"] != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(x["t"], F.lit(run)).alias("b"), x["i"].alias("i")))
-    rows = _keyed(docs).select("_doc", "_hash", hashed.alias("lines")).where(F.size("lines") >= run)
+    rows = _keyed(docs).select("doc", "hash", hashed.alias("lines")).where(F.size("lines") >= run)
     ranked = F.transform("lines", lambda x, i: F.struct(x["a"].alias("h"), (-i).alias("i")))
     rows = rows.withColumn("ranked", ranked)
     picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), lambda i: F.array_min(F.slice("ranked", i, run))))
-    rows = rows.select("_doc", "_hash", "lines", F.explode(picked).alias("p"))
+    rows = rows.select("doc", "hash", "lines", F.explode(picked).alias("p"))
     at = -F.col("p.i")  # from 0
     first = F.greatest(at - (run - 1), F.lit(0))
-    return rows.select(F.col("p.h").alias("h"), F.col("_doc").alias("doc"), F.col("_hash").alias("hash"), (at - first + 1).alias("at"), F.slice("lines", first + 1, at - first + run).alias("around"))
+    return rows.select(F.col("p.h").alias("h"), "doc", "hash", (at - first + 1).alias("at"), F.slice("lines", first + 1, at - first + run).alias("around"))
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_doc, _hash, gone): for each text with repeats, the numbers of the lines to delete, from 0."""
+    """(doc, hash, gone): for each text with repeats, the numbers of the lines to delete, from 0."""
     marks = checkpoint(winnow(docs, run))
     again = checkpoint(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     live = marks.join(again, "h")
@@ -63,34 +68,41 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     place = F.struct("doc", "hash", "line")
     first = checkpoint(windows.groupBy("wa", "wb").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wa", "wb", "first"))
     later = windows.join(first, ["wa", "wb"]).where(place > F.col("first"))
-    gone = later.select("doc", "hash", F.explode("lines").alias("line")).groupBy("doc", "hash").agg(F.collect_set("line").alias("gone"))
-    return gone.select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), "gone")
+    return later.select("doc", "hash", F.explode("lines").alias("line")).groupBy("doc", "hash").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` without later repeats of runs of ``run`` or more lines, and the columns ``_lines`` and ``_gone``.
+    """(row, text, lines, gone): ``docs`` as structs, their texts without later repeats of runs of ``run`` or more lines.
 
     Lines end at a newline; they are compared without white space at their ends,
     and lines of white space alone are neither counted in runs nor deleted.  A run is
     later if it begins behind an equal one in the order of doc_id (null first), the
     text's hash and the line; rows with equal doc_id and text count as one document.
     Every deleted line stands earlier in some document that keeps it.  Null texts
-    stay null; a text may become empty, its row stays.  ``n_chars``, if there, is
-    brought up to date.  ``_lines`` and ``_gone`` count the lines and the deleted ones.
+    stay null; a text may become empty, its row stays.  ``lines`` and ``gone`` count
+    the lines and the deleted ones.
     """
     gone = checkpoint(repeated_lines(docs, run))
-    rows = _keyed(docs).join(gone, ["_doc", "_hash"], "left")
-    raw = _raw(F.col("text").cast("string"))
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = rows.select(*columns, F.when(F.col("text").isNotNull(), F.size(raw)).otherwise(0).alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("_gone"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = _keyed(docs).join(gone, ["doc", "hash"], "left")
+    # the parts are a column of their own: inside the lambda they would be split again for each line
+    rows = rows.select("row", "gone", _raw(_text()).alias("parts"))
+    kept = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")))
+    text = F.when(F.col("gone").isNull(), _text()).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
+    return rows.select("row", text.alias("text"), F.when(_text().isNotNull(), F.size("parts")).otherwise(0).alias("lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("gone"))
+
+
+def drop_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """``docs`` with the texts of ``dedup_lines``; ``n_chars``, if there, is brought up to date."""
+    found = dedup_lines(docs, run)
+    changed = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*unpacked(found, docs.columns, **changed))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return found.select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("gone").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 #: The same in SQL: windows of three lines, numbered by their place among equals.

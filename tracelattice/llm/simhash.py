@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint
+from .base import checkpoint, packed, unpacked
 from .components import connected_components
 
 SEED = 42
@@ -194,8 +194,10 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
 
     Rows without a doc_id stay; rows that repeat the kept doc_id stay as well.
     """
-    keep = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").cast("long").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_outer").where(F.col("_kept").isNotNull() | docs["doc_id"].isNull()).drop("_kept")
+    keep = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = packed(docs, id=F.col("doc_id").cast("long"))
+    rows = rows.join(keep, rows["id"] == keep["kept"], "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
+    return rows.select(*unpacked(rows, docs.columns))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

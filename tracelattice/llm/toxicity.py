@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table
+from .base import checkpoint, packed, table, unpacked
 
 #: Most labelled rows that training looks at: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 20_000
@@ -333,15 +333,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            found = np.array([features(t.as_py(), matcher) for t in batch.column(at)]).reshape(-1, len(FEATURES))
+            texts = batch.column(0).field(at)
+            found = np.array([features(t.as_py(), matcher) for t in texts]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.predict(found) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = packed(docs)
+    rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*unpacked(rows, docs.columns))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
