@@ -38,17 +38,22 @@ IPV6 = _ipv6_pattern()
 
 
 def is_ipv6(text: Column) -> Column:
-    return F.coalesce(text.rlike(IPV6), F.lit(False))
+    return F.coalesce(text.contains(":") & text.rlike(IPV6), F.lit(False))
 
 
 def is_ipv4(text: Column) -> Column:
     return F.coalesce(text.rlike(IPV4), F.lit(False))
 
 
+def checked_ipv4_number(text: Column) -> Column:
+    """The LONG of a text that is known to be an IPv4 address."""
+    octet = lambda i: F.substring_index(F.substring_index(text, ".", i), ".", -1).cast("long")
+    return octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
+
+
 def ipv4_number(text: Column) -> Column:
     """The address as LONG; null where the text is none."""
-    octet = lambda i: F.element_at(F.split(text, r"\."), i).cast("long")
-    return F.when(is_ipv4(text), octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4))
+    return F.when(is_ipv4(text), checked_ipv4_number(text))
 
 
 def ipv4_text(number: Column) -> Column:

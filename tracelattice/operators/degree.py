@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -32,8 +34,8 @@ def _sums(edges: DataFrame, values: DataFrame, out: dict[str, str], into: dict[s
 
 def degree_table(edges: DataFrame) -> DataFrame:
     """The nine columns of the degree statistics for every node of distinct ``edges``."""
-    one = degrees(edges).withColumn("t", F.col("degree_in") + F.col("degree_out"))
-    first = _sums(edges, one, {"so": "degree_out", "to_": "t"}, {"si": "degree_in", "ti": "t"})
+    one = checkpoint(degrees(edges).withColumn("t", F.col("degree_in") + F.col("degree_out")))
+    first = checkpoint(_sums(edges, one, {"so": "degree_out", "to_": "t"}, {"si": "degree_in", "ti": "t"}))
     second = _sums(edges, first, {"so2": "so", "to2": "to_"}, {"si2": "si", "ti2": "ti"})
     all_ = one.join(first, "node_id").join(second, "node_id")
     c = F.col

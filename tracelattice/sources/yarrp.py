@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.ip import ipv4_number, ipv6_bytes, is_ipv4, is_ipv6
+from ..functions.ip import checked_ipv4_number, ipv6_bytes, is_ipv4, is_ipv6
 
 MODES = ("failfast", "permissive")
 #: Order of rows within a scan.
@@ -40,11 +40,13 @@ def read_lines(spark: SparkSession, folder: str, compressed: bool = False) -> Da
 def _checked(fields: Column, family: str) -> tuple[Column, Column]:
     """(ttl, reason): checks in the order shape, ttl, ip, family."""
     target, hop = F.get(fields, 0), F.get(fields, 6)
-    ttl = F.when(F.get(fields, 5).rlike(r"^\+?[0-9]+$"), F.try_to_number(F.regexp_replace(F.get(fields, 5), r"^\+?0*(?=[0-9])", ""), F.lit("999")).cast("int"))
-    ttl = F.when(ttl.between(0, 255), ttl)
+    count = F.get(fields, 5)
+    ttl = F.when(count.rlike(r"^\+?[0-9]+$"), count.try_cast("decimal(38,0)"))
+    ttl = F.when(ttl.between(0, 255), ttl.cast("int"))
     t4, h4, t6, h6 = is_ipv4(target), is_ipv4(hop), is_ipv6(target), is_ipv6(hop)
+    # rows of the expected family need one test for each address
     fits = (t4 & h4) if family == "V4" else (t6 & h6)
-    reason = F.when(F.size(fields) < 8, "shape").when(ttl.isNull(), "ttl").when(~(t4 | t6) | ~(h4 | h6), "ip").when(~fits, "family")
+    reason = F.when(F.size(fields) < 8, "shape").when(ttl.isNull(), "ttl").when(fits, F.lit(None)).when((t4 | t6) & (h4 | h6), "family").otherwise("ip")
     return ttl, reason
 
 
@@ -73,7 +75,7 @@ def hops(lines: DataFrame, family: str = "V4", mode: str = "failfast") -> DataFr
     if mode == "failfast":
         stop = F.raise_error(F.concat(F.lit("bad scan row ("), F.col("reason"), F.lit("): "), F.col("value"))).cast("string")
         rows = rows.withColumn("reason", F.when(F.col("reason").isin("shape", "ttl", "family"), stop).otherwise(F.col("reason")))
-    number = ipv4_number if family == "V4" else ipv6_bytes
+    number = checked_ipv4_number if family == "V4" else ipv6_bytes
     places = [c for c in lines.columns if c != "value"]
     return rows.where("reason is null").select(number(F.col("target_text")).alias("target"), number(F.col("hop_text")).alias("hop"), "ttl", *places)
 
