@@ -79,9 +79,10 @@ def number_edges(edges: DataFrame, unknown: DataFrame) -> DataFrame:
 
 def max_node_ids(mapping: DataFrame, walked: DataFrame) -> DataFrame:
     """One row (known, unknown): the largest known id (0 without nodes) and the number of unknown nodes."""
-    known = mapping.agg(F.coalesce(F.max("node_id"), F.lit(0)).cast("long").alias("known"))
-    unknown = walked.groupBy("anchor").agg(F.max("k").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("unknown"))
-    return known.crossJoin(unknown)  # one row each
+    zero = F.lit(0).cast("long")
+    known = mapping.select(F.col("node_id").cast("long").alias("known"), zero.alias("unknown"))
+    unknown = walked.groupBy("anchor").agg(F.max("k").alias("unknown")).select(zero.alias("known"), "unknown")
+    return known.unionByName(unknown).agg(F.coalesce(F.max("known"), zero).alias("known"), F.coalesce(F.sum("unknown"), zero).alias("unknown"))
 
 
 def assembled(hops: DataFrame, ties: list[str]) -> DataFrame:
