@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,9 @@ from .base import table
 VOCABULARY = "byte_bpe_50k.json"
 #: The vocabulary's own rule for pieces of text (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces that a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 200_000
+#: Pieces that a worker remembers in each of two generations: when the young one is full, it becomes
+#: the old one, and pieces met again move back.
+REMEMBERED = 300_000
 #: Bytes of the longest piece that is remembered.
 REMEMBERED_BYTES = 64
 
@@ -84,6 +86,7 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.compatible: dict[int, bool] = {}
         self.memory: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two tokens; each answer is kept in a table."""
@@ -117,11 +120,8 @@ class Encoder:
             return [whole]
         n = len(raw)
         longest = [-1] * n
-        reach = [0] * n
         for end, (size, token) in self.machine.iter(raw.decode("latin-1")):
-            start = end - size + 1
-            if size > reach[start]:
-                reach[start], longest[start] = size, token
+            longest[end - size + 1] = token  # ends only grow, so the longest comes last
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
@@ -143,32 +143,32 @@ class Encoder:
                 token = shorter[last]
 
     def _known(self, piece: str) -> tuple[bytes, str]:
-        ids = self.piece(piece.encode("utf-8"))
-        found = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)))
+        """Ids of a piece that the young generation lacks."""
+        found = self.memory.get(piece) or self.older.get(piece)
+        if found is None:
+            ids = self.piece(piece.encode("utf-8"))
+            found = (array("i", ids).tobytes(), ",".join(map(str, ids)))
         if len(piece) <= REMEMBERED_BYTES:
             if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
+                self.older, self.memory = self.memory, {}
             self.memory[piece] = found
         return found
 
     def encode_parts(self, text: str, marks: bool = True) -> tuple[list[bytes], list[str]]:
         """Ids as int32 bytes, and as decimals joined by commas, piece by piece."""
-        ids: list[bytes] = []
-        shown: list[str] = []
-        memory = self.memory
+        all_found: list[tuple[bytes, str]] = []
         for k, part in enumerate(self.marks.split(text) if marks and self.marks else [text]):
             if k % 2:
                 i = self.special[part]
-                ids.append(np.int32(i).tobytes())
-                shown.append(str(i))
+                all_found.append((array("i", [i]).tobytes(), str(i)))
                 continue
-            for piece in self.pieces.findall(part):
-                known = memory.get(piece)
-                if known is None:
-                    known = self._known(piece)
-                ids.append(known[0])
-                shown.append(known[1])
-        return ids, shown
+            pieces = self.pieces.findall(part)
+            found = list(map(self.memory.get, pieces))
+            if None in found:
+                known = self._known
+                found = [known(p) if f is None else f for p, f in zip(pieces, found)]
+            all_found += found
+        return [f[0] for f in all_found], [f[1] for f in all_found]
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_parts(text or "")[0]), np.int32)
