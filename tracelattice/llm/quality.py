@@ -15,11 +15,11 @@ SYMBOLS = "#*$%&|<>"
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Largest share of word characters inside n-grams that occurred earlier in the text, by n.
-MAX_DUPLICATE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+MAX_DUPLICATE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 #: Largest share of word characters inside the most frequent n-gram that occurs twice or more, by n.
 MAX_TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 #: Largest share of lines, and of word characters, in lines equal to an earlier line.
-MAX_DUP_LINES, MAX_DUP_LINE_CHARS = 0.35, 0.20
+MAX_DUP_LINES, MAX_DUP_LINE_CHARS = 0.35, 0.25
 #: Largest number of symbols for each word.
 MAX_SYMBOLS = 0.10
 
