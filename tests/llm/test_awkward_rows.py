@@ -53,6 +53,8 @@ def test_near_copies_of_awkward_rows(spark):
     found = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(awkward(spark)).collect()}
     assert found[(2, 0)] == found[(3, 0)] == found[(None, 0)] == 1  # without words, without an id
     assert {c for (i, _), c in found.items() if i in (10, 11)} == {10}
+    texts = spark.createDataFrame([(1, "a b c d e"), (7, "a b c d e"), (7, "quite another text here"), (8, "quite another text here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(texts).collect()) == [(1, "a b c d e"), (7, "quite another text here")]
     assert len(simhash.drop_near_duplicates(awkward(spark)).where("doc_id IS NULL").collect()) == 2
 
 

@@ -56,13 +56,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): a row for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, hash of the text, fp long): a row for each row of ``docs``."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, hash long, fp long")
 
 
 def _thermometer(x):
@@ -173,7 +174,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): ``component_id`` is the smallest doc_id reachable over links.
+    """(doc_id, hash, fp, component_id): ``component_id`` is the smallest doc_id reachable over links.
 
     A row for each row of ``docs``.  Null and empty texts have fingerprint zero and
     link like others.  Rows without a doc_id keep their fingerprint; their
@@ -186,17 +187,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     members = checkpoint(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = checkpoint(members.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = checkpoint(members.join(least, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "hash", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest doc_id.
 
-    Rows without a doc_id stay; rows that repeat the kept doc_id stay as well.
+    Rows with equal doc_id and text count as one document.  Rows without a doc_id
+    stay.  Of different texts under one doc_id only those of its own class stay.
     """
-    keep = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = packed(docs, id=F.col("doc_id").cast("long"))
-    rows = rows.join(keep, rows["id"] == keep["kept"], "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
+    keep = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept"), F.col("hash").alias("kept_hash")).distinct()
+    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
+    keep = checkpoint(keep)
+    rows = rows.join(keep.hint("merge"), (rows["id"] == keep["kept"]) & (rows["hash"] == keep["kept_hash"]), "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
     return rows.select(*unpacked(rows, docs.columns))
 
 
