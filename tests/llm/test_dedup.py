@@ -97,12 +97,13 @@ def test_seeds_of_equal_runs():
 def test_alignment():
     words = np.arange(100, dtype=np.uint16)
     other = np.r_[np.full(5, 900, np.uint16), words, np.full(7, 901, np.uint16)]
-    y0, y1, x0, x1, same, total = substring.align(words, other, np.array([40]), np.array([45]))
-    assert (y0, y1, x0, x1, same, total) == (0, 100, 5, 105, 100, 100)
+    assert substring.align(words, other, np.array([40]), np.array([45])) == [(0, 100, 5, 105, 100, 100)]
     changed = other.copy()
     changed[60] = 999
-    y0, y1, x0, x1, same, total = substring.align(words, changed, np.array([10, 70]), np.array([15, 75]))
-    assert (y0, y1, same, total) == (0, 100, 99, 100)
+    assert substring.align(words, changed, np.array([10, 70]), np.array([15, 75])) == [(0, 100, 5, 105, 99, 100)]
+    # thirty words between the halves belong to one side only: two passages
+    apart = np.r_[words[:50], np.arange(500, 530, dtype=np.uint16), words[50:]]
+    assert substring.align(words, apart, np.array([10, 70]), np.array([10, 100])) == [(0, 50, 0, 50, 50, 50), (50, 100, 80, 130, 50, 50)]
 
 
 @pytest.mark.parametrize("edit", [0, 1, 2])
@@ -142,6 +143,16 @@ def test_planted_passages(spark, edit):
             assert kept[i]["text"] == t
 
 
+def test_texts_full_of_repeats(spark):
+    """Two words said over and over make equal seeds; copies of such a passage are found all the same."""
+    rng = random.Random(12)
+    passage = "is onhe. " * 200
+    texts = [f"{prose(rng, 40)} {passage} {prose(rng, 40)}" if i % 3 else prose(rng, 80) for i in range(12)]
+    kept = {r["doc_id"]: len(r["text"].split()) for r in substring.drop_passages(documents(spark, texts)).collect()}
+    assert all(kept[i] == len(texts[i].split()) for i in (0, 1, 3, 6, 9))
+    assert all(kept[i] <= 80 + 40 for i in range(12) if i % 3 and i != 1)
+
+
 def test_cut():
     assert substring.cut(" a b  c\nd ", [(1, 3)]) == " a d "
     assert substring.cut("a b c", [(0, 2), (1, 3)]) == ""
