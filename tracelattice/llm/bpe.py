@@ -93,7 +93,7 @@ class Encoder:
         key = left * self.size + right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > 1_000_000:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
