@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelattice.llm import lines, substring
@@ -153,6 +154,37 @@ def test_texts_full_of_repeats(spark):
     assert all(kept[i] <= 80 + 40 for i in range(12) if i % 3 and i != 1)
 
 
+def test_versions(spark):
+    """Each version edits the one before, so a late one is far from the first and near to the last but one."""
+    rng = random.Random(20)
+    passage, versions, texts, places = prose(rng, 80).split(), [], [], {}
+    for i in range(40):
+        words, at = prose(rng, rng.randint(60, 120)).split(), rng.randint(0, 60)
+        if i % 2:
+            for _ in range(3):
+                passage[rng.randrange(len(passage))] = f"edit{rng.random()}"
+            words[at:at] = passage
+            places[i] = (at, at + len(passage))
+            versions.append((i, list(passage)))
+        texts.append(" ".join(words))
+    brute = {i for k, (i, p) in enumerate(versions) if any(sum(a == b for a, b in zip(p, q)) >= 0.8 * len(p) for _, q in versions[:k])}
+    covered = {i: set() for i in range(40)}
+    for r in substring.repeated_passages(documents(spark, texts)).collect():
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert {i for i, c in covered.items() if c} == brute == set(places) - {1}
+    assert all(len(covered[i] & set(range(*places[i]))) >= 0.8 * 80 for i in brute)
+
+
+def test_links_of_seeds_across_batches():
+    """The first and the nearest earlier holder of each seed, wherever the batches are cut."""
+    rows = [(1, d, d * 10, -1) for d in (2, 3, 5, 7)] + [(2, 4, 1, -1)] + [(3, 4, 2, 0), (3, 9, 3, -1)] + [(4, 6, 8, 1)]
+    expected = sorted([(3, 2, 30, 20), (5, 2, 50, 20), (5, 3, 50, 30), (7, 2, 70, 20), (7, 5, 70, 50), (4, 4, 2, 0), (9, 4, 3, 2), (6, 6, 8, 1)])
+    for size in range(1, len(rows) + 1):
+        table = pa.table({c: pa.array(v) for c, v in zip(("h", "doc", "pos", "before"), zip(*rows))})
+        found = [tuple(r.values()) for b in substring._linked(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(found) == expected
+
+
 def test_cut():
     assert substring.cut(" a b  c\nd ", [(1, 3)]) == " a d "
     assert substring.cut("a b c", [(0, 2), (1, 3)]) == ""
