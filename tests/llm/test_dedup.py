@@ -175,13 +175,41 @@ def test_versions(spark):
     assert all(len(covered[i] & set(range(*places[i]))) >= 0.8 * 80 for i in brute)
 
 
+def test_fuzzy_passages(spark):
+    """Passages at 0.8 to 0.95 identity, edited at random or at even steps; brute force over all diagonals finds the same texts."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(24):
+        passage = prose(rng, 65).split()
+        later = list(passage)
+        places = range(2, 65, 5) if i % 4 == 0 else rng.sample(range(65), (3, 6, 10)[i % 3])
+        for k in places:
+            later[k] = f"edit{rng.random()}"
+        for p in (passage, later):
+            words = prose(rng, 60).split()
+            words[30:30] = p
+            texts.append(" ".join(words))
+    split = [t.split() for t in texts]
+    brute = set()
+    for i, a in enumerate(split):
+        for b in split[:i]:
+            for shift in range(50 - len(a), len(b) - 49):
+                same = np.array([x == y for x, y in zip(a[max(0, -shift) :], b[max(0, shift) :])])
+                if len(same) >= 50 and np.convolve(same, np.ones(50, int), "valid").max() >= 40:
+                    brute.add(i)
+                    break
+    assert brute == set(range(1, 48, 2))
+    found = {r["doc_id"] for r in substring.repeated_passages(documents(spark, texts)).collect()}
+    assert found == brute
+
+
 def test_links_of_seeds_across_batches():
     """The first and the nearest earlier holder of each seed, wherever the batches are cut."""
-    rows = [(1, d, d * 10, -1) for d in (2, 3, 5, 7)] + [(2, 4, 1, -1)] + [(3, 4, 2, 0), (3, 9, 3, -1)] + [(4, 6, 8, 1)]
+    rows = [(*r, 5) for r in [(1, d, d * 10, -1) for d in (2, 3, 5, 7)] + [(2, 4, 1, -1)] + [(3, 4, 2, 0), (3, 9, 3, -1)] + [(4, 6, 8, 1)]]
     expected = sorted([(3, 2, 30, 20), (5, 2, 50, 20), (5, 3, 50, 30), (7, 2, 70, 20), (7, 5, 70, 50), (4, 4, 2, 0), (9, 4, 3, 2), (6, 6, 8, 1)])
     for size in range(1, len(rows) + 1):
-        table = pa.table({c: pa.array(v) for c, v in zip(("h", "doc", "pos", "before"), zip(*rows))})
-        found = [tuple(r.values()) for b in substring._linked(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        table = pa.table({c: pa.array(v, pa.int32() if c == "sides" else pa.int64()) for c, v in zip(("h", "doc", "pos", "before", "sides"), zip(*rows))})
+        found = [tuple(r.values())[:4] for b in substring._linked(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
         assert sorted(found) == expected
 
 
