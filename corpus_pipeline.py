@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelattice.llm import lines, packing, simhash, substring, toxicity
+from tracelattice.llm import jaccard, lines, packing, substring, toxicity
 from tracelattice.llm.base import checkpoint, remove_folder, shared_folder, table
 
 
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """Without texts of which 0.8 or more of the five-word shingles are those of an earlier text that stays."""
+    return jaccard.drop_near_copies(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
