@@ -55,55 +55,86 @@ def test_line_query_equals_its_sql(spark, tmp_path):
     assert ours == sorted(db.sql(lines.ORACLE).fetchall())
 
 
-def plain_chain_score(x, y, size, gap):
-    order = sorted(range(len(x)), key=lambda i: (y[i], x[i]))
-    best = {}
-    for i in order:
+def best_chain(x, y, size, gap):
+    """The best score over all pairs of links, in quadratic time."""
+    best = []
+    for i, j in enumerate(order := sorted(range(len(x)), key=lambda i: (y[i], x[i]))):
         value = float(size)
-        # the tree picks the best end by score and place; its gain is then exact
-        ends = [(best[j] + gap * (x[j] + y[j]), j) for j in best if x[j] < x[i] and y[j] < y[i]]
-        if ends:
-            top = max(e[0] for e in ends)
-            for e, j in ends:
-                if e == top:
-                    dx, dy = x[i] - x[j], y[i] - y[j]
-                    value = max(value, best[j] + min(size, dx, dy) - gap * (max(0, dx - size) + max(0, dy - size)))
-        best[i] = value
-    return max(best.values())
-
-
-def test_chains_are_collinear_and_best():
-    rng = random.Random(1)
-    for _ in range(50):
-        links = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(25)})
-        x, y = np.array([a for a, _ in links]), np.array([b for _, b in links])
-        chains = substring.chain(x, y)
-        assert sorted(i for c in chains for i in c) == list(range(len(links)))
+        for k, before in zip(order[:i], best):
+            dx, dy = x[j] - x[k], y[j] - y[k]
+            if dx >= size and dy >= size:
+                value = max(value, before + size - gap * (dx + dy - 2 * size))
+            elif dx == dy > 0:
+                value = max(value, before + dx)
+        best.append(value)
+    return max(best)
+
+
+def score_of(x, y, size, gap):
+    steps = zip(np.diff(x).tolist(), np.diff(y).tolist())
+    return size + sum(min(size, dx) - gap * (max(0, dx - size) + max(0, dy - size)) for dx, dy in steps)
+
+
+@pytest.mark.parametrize(("places", "links", "gap"), [(60, 25, 0.05), (60, 60, 0.2), (400, 60, 0.05), (12, 40, 0.5)])
+def test_chains_are_collinear_and_best(places, links, gap):
+    rng = random.Random(places + links)
+    for _ in range(60):
+        found = sorted({(rng.randint(0, places), rng.randint(0, places)) for _ in range(links)} | {(k, k + 3) for k in range(rng.randint(0, 10))})
+        x, y = np.array([a for a, _ in found]), np.array([b for _, b in found])
+        chains = substring.chain(x, y, 5, gap)
+        assert sorted(i for c in chains for i in c) == list(range(len(found)))
         for c in chains:
             assert (np.diff(x[c]) > 0).all()
             assert (np.diff(y[c]) > 0).all()
-    x = np.arange(0, 100, 5)
-    assert len(substring.chain(x, x + 40)[0]) == 20
-    assert plain_chain_score(x.tolist(), (x + 40).tolist(), 8, 0.2) > 100
+        best = best_chain(x.tolist(), y.tolist(), 5, gap)
+        assert score_of(x[chains[0]], y[chains[0]], 5, gap) == pytest.approx(best)
 
 
 def test_seeds_of_equal_runs():
+    """A copy has every seed of the passage, whatever stands around it, and 50 words have some."""
     rng = random.Random(3)
-    shared = prose(rng, substring.SEED + substring.SPAN - 1)
     for _ in range(50):
-        a, b = (substring.seeds(substring.word_hashes(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"))[0] for _ in range(2))
-        assert set(a.tolist()) & set(b.tolist())
+        shared = prose(rng, 50)
+        own = set(substring.seeds(substring.word_hashes(shared))[0].tolist())
+        assert own
+        assert own <= set(substring.seeds(substring.word_hashes(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"))[0].tolist())
+    assert len(substring.seeds(substring.word_hashes("a " * 50))[0]) == 51 - substring.SEED
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for w in a:
+        old = row[:]
+        for j, v in enumerate(b):
+            row[j + 1] = max(old[j + 1], row[j], old[j] + (v == w))
+    return row[-1]
+
+
+def test_gaps_equal_the_longest_common_subsequence():
+    """Within the band the value is exact; beyond it, it is no larger."""
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.randint(0, 30) for _ in range(rng.randint(0, 150))]
+        b = list(a)
+        for _ in range(rng.randint(0, 14)):
+            if b:
+                k = rng.randrange(len(b))
+                b[k : k + rng.randint(0, 1)] = [rng.randint(0, 30)] * rng.randint(0, 1)
+        best = plain_lcs(a, b)
+        found = substring._gap(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert found <= best
+        assert found == best or max(len(a), len(b)) - best > substring.BREAK
 
 
 def test_alignment():
-    words = np.arange(100, dtype=np.uint16)
-    other = np.r_[np.full(5, 900, np.uint16), words, np.full(7, 901, np.uint16)]
+    words = np.arange(100, dtype=np.uint64)
+    other = np.r_[np.full(5, 900, np.uint64), words, np.full(7, 901, np.uint64)]
     assert substring.align(words, other, np.array([40]), np.array([45])) == [(0, 100, 5, 105, 100, 100)]
     changed = other.copy()
     changed[60] = 999
     assert substring.align(words, changed, np.array([10, 70]), np.array([15, 75])) == [(0, 100, 5, 105, 99, 100)]
     # thirty words between the halves belong to one side only: two passages
-    apart = np.r_[words[:50], np.arange(500, 530, dtype=np.uint16), words[50:]]
+    apart = np.r_[words[:50], np.arange(500, 530, dtype=np.uint64), words[50:]]
     assert substring.align(words, apart, np.array([10, 70]), np.array([10, 100])) == [(0, 50, 0, 50, 50, 50), (50, 100, 80, 130, 50, 50)]
 
 
@@ -203,6 +234,38 @@ def test_fuzzy_passages(spark):
     assert found == brute
 
 
+def edited(rng, passage, rate, kinds):
+    out = []
+    for w in passage:
+        kind = rng.choice(kinds) if rng.random() < rate else ""
+        out += {"": [w], "substitute": [f"edit{rng.random()}"], "insert": [w, f"edit{rng.random()}"], "delete": []}[kind]
+    return out
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 100 words, any of them edited: share found, and share covered to nine tenths."""
+    rng = random.Random(44)
+    least = {("substitute",): {0.05: (1.0, 1.0), 0.1: (1.0, 1.0), 0.15: (0.9, 0.9), 0.18: (0.7, 0.7)}, ("substitute", "insert", "delete"): {0.05: (1.0, 0.9), 0.1: (0.95, 0.85), 0.15: (0.8, 0.65), 0.18: (0.7, 0.6)}}
+    texts, planted = [], {}
+    for kinds, rates in least.items():
+        for rate in rates:
+            for _ in range(40):
+                passage = prose(rng, 100).split()
+                later = edited(rng, passage, rate, kinds)
+                around = prose(rng, 150).split()
+                texts += [" ".join([*prose(rng, 60).split(), *passage, *prose(rng, 60).split()]), " ".join([*around[:70], *later, *around[70:]])]
+                planted[len(texts) - 1] = (kinds, rate, 70, 70 + len(later))
+    covered = {i: set() for i in planted}
+    for r in substring.repeated_passages(documents(spark, texts)).collect():
+        assert r["doc_id"] in planted
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    for kinds, rates in least.items():
+        for rate, (found, whole) in rates.items():
+            shares = [len(covered[i] & set(range(lo, hi))) / (hi - lo) for i, (k, q, lo, hi) in planted.items() if (k, q) == (kinds, rate)]
+            assert np.mean([s > 0 for s in shares]) >= found, (kinds, rate, shares)
+            assert np.mean([s >= 0.9 for s in shares]) >= whole, (kinds, rate, shares)
+
+
 def test_links_of_seeds_across_batches():
     """The first and the nearest earlier holder of each seed, wherever the batches are cut."""
     rows = [(*r, 5) for r in [(1, d, d * 10, -1) for d in (2, 3, 5, 7)] + [(2, 4, 1, -1)] + [(3, 4, 2, 0), (3, 9, 3, -1)] + [(4, 6, 8, 1)]]
