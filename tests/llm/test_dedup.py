@@ -271,7 +271,7 @@ def test_links_of_seeds_across_batches():
     rows = [(*r, 5) for r in [(1, d, d * 10, -1) for d in (2, 3, 5, 7)] + [(2, 4, 1, -1)] + [(3, 4, 2, 0), (3, 9, 3, -1)] + [(4, 6, 8, 1)]]
     expected = sorted([(3, 2, 30, 20), (5, 2, 50, 20), (5, 3, 50, 30), (7, 2, 70, 20), (7, 5, 70, 50), (4, 4, 2, 0), (9, 4, 3, 2), (6, 6, 8, 1)])
     for size in range(1, len(rows) + 1):
-        table = pa.table({c: pa.array(v, pa.int32() if c == "sides" else pa.int64()) for c, v in zip(("h", "doc", "pos", "before", "sides"), zip(*rows))})
+        table = pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("h", "doc", "pos", "before", "sides"), zip(*rows))})
         found = [tuple(r.values())[:4] for b in substring._linked(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
         assert sorted(found) == expected
 

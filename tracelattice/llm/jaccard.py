@@ -57,7 +57,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
         counts = [len(p) for p in parts[1:]]
         h = np.concatenate(parts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.full(len(h), -1, np.int32)), pa.array(np.zeros(len(h), np.int32))], ["h", "doc", "pos", "before", "sides"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.full(len(h), -1, np.int32)), pa.array(np.zeros(len(h), np.int64))], ["h", "doc", "pos", "before", "sides"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc, hash, ref, ref_hash): links to earlier texts whose similarity, computed exactly, is 0.8 or more."""
-    prefixes = docs.select("doc", "text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides int")
+    prefixes = docs.select("doc", "text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
     links = prefixes.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int")
     pairs = checkpoint(links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select("doc", "ref").distinct())
     involved = checkpoint(pairs.select("doc").unionByName(pairs.select(F.col("ref").alias("doc"))).distinct())
