@@ -29,7 +29,7 @@ def test_operators(spark, make, labels):
     assert len(bpe.round_trip(docs).collect()) == n
     assert len(bpe.decode(bpe.encode(docs)).collect()) == n
     assert len(lines.dedup_lines(docs).collect()) == n
-    assert len(packing.pack_lengths(packing.word_lengths(docs)).collect()) >= n
+    assert len(packing.placements(packing.pack_texts(docs)).collect()) >= n
     assert len(shards.materialise(docs, shared_folder(spark, "t"), 64, 8).collect()) >= (n > 0)
     for kind in ("full", "none"):
         model = toxicity.train(docs, spark.read.parquet(f"file://{labels}/{kind}/labels.parquet"))

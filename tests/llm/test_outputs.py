@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import random
 
 import numpy as np
@@ -103,16 +104,16 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
-def plain_pack(lengths, sizes, overhead):
+def plain_fill(lengths, sizes, policy):
     """The same rule by scanning all open bins; of equal room the bin touched last."""
     rest, bins = sum(lengths), []
+    own = lambda n: next(c for c in sizes if c >= n)
     for step, n in enumerate(sorted(lengths, reverse=True)):
         fits = [b for b in bins if b[0] >= n]
         if fits:
             b = min(fits, key=lambda b: (b[0], -b[2]))
         else:
-            size = min((c for c in sizes if c >= n), key=lambda c: ((c + overhead) / max(1, min(c, rest)), c))
-            b = [size, 0, step]
+            b = [min(policy[own(n)], own(min(rest, sizes[-1]))), 0, step]
             bins.append(b)
         b[0] -= n
         b[1] += n
@@ -121,22 +122,64 @@ def plain_pack(lengths, sizes, overhead):
     return sorted(b[1] for b in bins)
 
 
+def price(filled, sizes, cost):
+    return sum(cost(next(c for c in sizes if c >= used)) for used in filled)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=60))
 def test_pack(lengths):
-    sizes = (10, 20, 40)
-    where, offset, final = packing.pack(lengths, sizes, 3)
+    sizes, cost = (10, 20, 40), lambda c: c * (1 + c / 60) + 1
+    where, offset, final = packing.pack(lengths, sizes, cost)
     filled: dict[int, int] = {}
     for i in sorted(range(len(lengths)), key=lambda i: (where[i], offset[i], lengths[i])):
         assert offset[i] == filled.get(where[i], 0)
         filled[where[i]] = offset[i] + lengths[i]
     for b, used in filled.items():
         assert final[b] == min(c for c in sizes if c >= used)
-    assert sorted(filled.values()) == plain_pack(lengths, sizes, 3)
+    policies = [dict(zip(sizes, p)) for p in itertools.product(sizes, sizes, sizes) if all(c >= s for c, s in zip(p, sizes))]
+    every = {price(plain_fill(lengths, sizes, p), sizes, cost): sorted(plain_fill(lengths, sizes, p)) for p in policies}
+    ours = sum(map(cost, final))
+    assert any(ours == pytest.approx(v) for v in every)
+    for fixed in ({s: sizes[-1] for s in sizes}, {s: s for s in sizes}):
+        assert ours <= price(plain_fill(lengths, sizes, fixed), sizes, cost) + 1e-9
     with pytest.raises(ValueError):
         packing.pack([41], sizes)
 
 
+def test_sizes_are_chosen_together():
+    """Cheaper than the largest size always, and where lengths are awkward than each item's own size always."""
+    rng = random.Random(12)
+    sizes = packing.CAPACITIES
+    for lengths, own in (([min(4096, int(rng.lognormvariate(6.3, 1.0))) for _ in range(4000)], 1.0), ([rng.choice([260, 300, 700, 90]) for _ in range(4000)], 0.95)):
+        opened = packing.pack(lengths)[2]
+        ours = sum(map(packing.bin_cost, opened))
+        always = [price(plain_fill(lengths, sizes, p), sizes, packing.bin_cost) for p in ({s: sizes[-1] for s in sizes}, {s: s for s in sizes})]
+        assert ours < 0.97 * always[0]
+        assert ours <= own * always[1]
+        assert any(c < sizes[-1] for c in opened)
+
+
+def test_packed_sequences_hold_the_tokens(spark):
+    from tracelattice.llm import bpe
+
+    rng = random.Random(13)
+    texts = {i: t for i, t in enumerate([None, "", *(prose(rng, rng.choice([3, 100, 700, 4000])) for _ in range(30))])}
+    docs = documents(spark, texts)
+    ids = {r["doc_id"]: [*r["ids"], shards.END] for r in bpe.encode(docs).collect()}
+    found: dict[int, dict] = {i: {} for i in texts}
+    for b in packing.pack_texts(docs, group=16).collect():
+        sequence = np.frombuffer(b["ids"], "<u2").tolist()
+        assert len(sequence) == b["used"] <= b["capacity"]
+        at = 0
+        for d in b["documents"]:
+            assert d["offset"] == at
+            at += d["length"]
+            found[d["doc_id"]][d["start"]] = sequence[d["offset"] : at]
+        assert at == b["used"]
+    assert {i: sum((p for _, p in sorted(v.items())), []) for i, v in found.items()} == ids
+
+
 def test_packing_table(spark):
     rng = random.Random(6)
     lengths = [(i, rng.choice([0, 3, 40, 500, 1500, 4096, 9000])) for i in range(400)] + [(None, 5), (3, 7), (3, 7), (5, None), (6, -2)]
@@ -177,7 +220,7 @@ def test_pipeline(spark, tmp_path):
     docs = documents(spark, texts)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, f"file://{tmp_path}")
-    kept = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
+    kept = {r["doc_id"]: len(r["ids"]) + 1 for r in bpe.encode(docs).collect()}  # and the end mark
     assert sum(r["length"] for r in found) == sum(kept.values())
     assert {r["doc_id"] for r in found} == set(kept)
     assert not any(any(w in texts[i] for w in insults) for i in kept if i < 80)

@@ -123,12 +123,37 @@ def test_quotation_and_abuse():
     abuse, quoted = toxicity.features("you are a moron", matcher), toxicity.features('they used the word "moron" once', matcher)
     assert abuse[0] == 1 and abuse[2] == 0
     assert quoted[0] < 0.1 and quoted[2] > 0.9
-    assert toxicity.features("you m0ron", matcher)[1] == 0  # digits end a word
+    assert toxicity.features("you m0ron, you mor*n", matcher)[1] == 2
+    assert toxicity.features("a moran", matcher)[1] == 1
     assert toxicity.features("you morron", matcher)[1] == 1
     assert toxicity.features(None, matcher) == [0, 0, 0, 0, 0]
     assert 0 <= model.predict(np.array([abuse]))[0] <= 1
 
 
+def test_masked_short_terms():
+    """A digit or sign in place of a letter counts in short terms too; another letter does not."""
+    matcher = toxicity.Matcher([toxicity.Term("scum", False), toxicity.Term("pig", True)])
+    assert [matcher.match(w) for w in ("scum", "sc*m", "5cum", "slum", "s**m")] == [(0, 0), (1, 0), (1, 0), None, None]
+    assert [matcher.match(w) for w in ("piglet", "p1glet", "puglet")] == [(0, 1), (1, 1), None]
+    assert toxicity.features("**scum** sc*m! 2024 a_b", matcher)[:4] == [1, 1, 0, 0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='x"“”«»\n', max_size=40))
+def test_quotation_marks_of_a_line(text):
+    found = toxicity.Quotations(text)
+    for k in range(len(text) + 1):
+        line = text[text.rfind("\n", 0, k) + 1 : k]
+        assert found.inside(k) == (line.count('"') % 2 == 1 or any(line.rfind(o) > line.rfind(c) for o, c in zip("“«", "”»")))
+
+
+def test_training_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(k, f"text {j}") for k in range(4) for j in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, 2).collect()
+    assert [r["text"] for r in found] == ["text 0"] * 2
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(4)
     texts, rows = {}, []

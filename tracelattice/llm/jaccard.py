@@ -1,7 +1,7 @@
-"""Near duplicates by their shared word shingles, each checked by its exact Jaccard similarity.
+"""The exact check of near copies, and the candidates that SimHash misses.
 
 A 64-bit SimHash of two texts with similarity 0.8 differs in about ten bits, too many
-for a grid of cells.  Here the candidates come from prefixes: with shingles in the
+for a grid of cells.  Further candidates come from prefixes: with shingles in the
 order of their hashes, two sets of that similarity share one of their first
 ``size - ceil(0.8 size) + 1``.  Each of these links a text to its first and to its
 nearest earlier holder.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint, packed, unpacked
+from .base import checkpoint
 from .substring import _linked, word_hashes
 
 #: Words of a shingle; least share of common shingles, in tenths.
@@ -75,39 +75,27 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc, hash, ref, ref_hash): links to earlier texts whose similarity, computed exactly, is 0.8 or more."""
-    prefixes = docs.select("doc", "text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
+def distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, hash, text) with one text of each set of shingles, and (doc, hash, node) of the same; node names it."""
+    text = F.col("text").cast("string")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    keys = checkpoint(rows.mapInArrow(_keys, "doc long, hash long, key binary").distinct())
+    own = checkpoint(keys.groupBy("key").agg(F.min(F.struct("doc", "hash")).alias("least")).select("least.doc", "least.hash", F.xxhash64("least.doc", "least.hash").alias("node")))
+    first = rows.join(own.select("doc", "hash").hint("merge"), ["doc", "hash"])
+    return first.groupBy("doc", "hash").agg(F.first("text").alias("text")), own
+
+
+def prefix_candidates(first: DataFrame) -> DataFrame:
+    """(doc, ref): each text with the first and the nearest earlier holder of its prefix shingles, if their sizes allow 0.8."""
+    prefixes = first.select("doc", "text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
     links = prefixes.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int")
-    pairs = checkpoint(links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select("doc", "ref").distinct())
+    return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select("doc", "ref")
+
+
+def similar(first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, hash, ref, ref_hash): the pairs (doc, ref) whose similarity, computed exactly, is 0.8 or more."""
     involved = checkpoint(pairs.select("doc").unionByName(pairs.select(F.col("ref").alias("doc"))).distinct())
-    sets = checkpoint(docs.join(involved.hint("merge"), "doc", "left_semi").select("doc", "hash", "text").mapInArrow(_sets, "doc long, hash long, set binary"))
+    sets = checkpoint(first.join(involved.hint("merge"), "doc", "left_semi").select("doc", "hash", "text").mapInArrow(_sets, "doc long, hash long, set binary"))
     refs = sets.select(F.col("doc").alias("ref"), F.col("hash").alias("ref_hash"), F.col("set").alias("ref_set"))
     both = pairs.join(sets.hint("merge"), "doc").join(refs.hint("merge"), "ref").select("doc", "hash", "ref", "ref_hash", "set", "ref_set")
     return both.mapInArrow(_similar, "doc long, hash long, ref long, ref_hash long")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts that are 0.8 similar or more to an earlier text that stays.
-
-    Earlier means a smaller doc_id, then a smaller hash of the text.  Rows without a
-    doc_id stay; rows with equal doc_id and text count as one document.
-    """
-    text = F.col("text").cast("string")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    keys = checkpoint(rows.mapInArrow(_keys, "doc long, hash long, key binary").distinct())
-    one = checkpoint(keys.groupBy("key").agg(F.min(F.struct("doc", "hash")).alias("least")).select("least.doc", "least.hash"))
-    first = rows.join(one.hint("merge"), ["doc", "hash"]).dropDuplicates(["doc", "hash"])
-    links = checkpoint(similar(first))
-    gone = links.select("doc", "hash").limit(0)
-    while not links.isEmpty():
-        # texts without an earlier link left stay, what is linked to them goes
-        later = checkpoint(links.select(F.col("doc").alias("ref"), F.col("hash").alias("ref_hash")).distinct())
-        now = checkpoint(links.join(later.hint("merge"), ["ref", "ref_hash"], "left_anti").select("doc", "hash").distinct())
-        gone = gone.unionByName(now)
-        links = links.join(now.hint("merge"), ["doc", "hash"], "left_anti")
-        links = checkpoint(links.join(now.select(F.col("doc").alias("ref"), F.col("hash").alias("ref_hash")).hint("merge"), ["ref", "ref_hash"], "left_anti"))
-    keep = checkpoint(one.join(gone.hint("merge"), ["doc", "hash"], "left_anti").select(F.col("doc").alias("kept"), F.col("hash").alias("kept_hash")))
-    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text))
-    rows = rows.join(keep.hint("merge"), (rows["id"] == keep["kept"]) & (rows["hash"] == keep["kept_hash"]), "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
-    return rows.select(*unpacked(rows, docs.columns))

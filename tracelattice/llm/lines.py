@@ -45,13 +45,20 @@ def winnow(docs: DataFrame, run: int = RUN) -> DataFrame:
     lines = F.filter(lines, lambda x: x["t"] != "")
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(x["t"], F.lit(run)).alias("b"), x["i"].alias("i")))
     rows = _keyed(docs).select("doc", "hash", hashed.alias("lines")).where(F.size("lines") >= run)
-    ranked = F.transform("lines", lambda x, i: F.struct(x["a"].alias("h"), (-i).alias("i")))
-    rows = rows.withColumn("ranked", ranked)
-    picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), lambda i: F.array_min(F.slice("ranked", i, run))))
-    rows = rows.select("doc", "hash", "lines", F.explode(picked).alias("p"))
-    at = -F.col("p.i")  # from 0
-    first = F.greatest(at - (run - 1), F.lit(0))
-    return rows.select(F.col("p.h").alias("h"), "doc", "hash", (at - first + 1).alias("at"), F.slice("lines", first + 1, at - first + run).alias("around"))
+    # each column is used twice in the next, which keeps the optimizer from computing it anew for each line
+    rows = rows.withColumn("ranked", F.transform("lines", lambda x, i: F.struct(x["a"].alias("h"), (-i).alias("i"))))
+    starts = F.sequence(F.lit(1), F.size("ranked") - run + 1)
+    rows = rows.withColumn("least", F.transform(starts, lambda i: F.array_min(F.slice("ranked", i, run))))
+    # places of the minima never fall, so a minimum is new where it differs from the one before
+    picked = F.filter("least", lambda x, i: (i == 0) | (x != F.get("least", i - 1)))
+
+    def mark(p):
+        at = -p["i"]  # from 0
+        first = F.greatest(at - (run - 1), F.lit(0))
+        return F.struct(p["h"].alias("h"), (at - first + 1).alias("at"), F.slice("lines", first + 1, at - first + run).alias("around"))
+
+    marks = rows.select("doc", "hash", F.explode(F.transform(picked, mark)).alias("p"))
+    return marks.select("p.h", "doc", "hash", "p.at", "p.around")
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:

@@ -113,10 +113,11 @@ def measure(text: str | None) -> tuple[list[int], list[float]]:
             sizes = np.diff(np.r_[begins, len(rolling)])
             most = sizes.max()
             if most > 1:
-                for top in np.flatnonzero(sizes == most)[:1]:
-                    windows = np.zeros(len(rolling), bool)
-                    windows[order[begins[top] : begins[top] + most]] = True
-                    shares[f"top_{k}gram"] = float(chars[_covered(windows, k)].sum() / total)
+                tied = np.flatnonzero(sizes == most)
+                top = tied[np.argmin(np.minimum.reduceat(order, begins)[tied])]
+                windows = np.zeros(len(rolling), bool)
+                windows[order[begins[top] : begins[top] + most]] = True
+                shares[f"top_{k}gram"] = float(chars[_covered(windows, k)].sum() / total)
     shares |= {"dup_lines": dup_lines / lines, "dup_line_chars": dup_line_chars / total, "symbols": symbols / n}
     return [n, total, symbols, dup_lines, repeat], [shares[k] for k in _SHARES]
 
@@ -133,7 +134,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: counts, shares, ``base_failed``, ``kept`` and ``reasons``.
 
     Null and empty texts have no words and fail the base rules.  ``reasons`` names
-    the limits that the shares exceed, in a fixed order.  Every text is measured
+    the limits that the shares exceed, in a fixed order.  Of equally frequent n-grams
+    the one that begins first in the text is the top one.  Every text is measured
     whole; columns other than doc_id and text are ignored.
     """
     schema = ", ".join(["doc_id long", *(f"{m} long" for m in _MEASURES), *(f"{s} double" for s in _SHARES)])

@@ -69,10 +69,12 @@ def _tiktoken(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(*ranks.values(), END) >= 1 << 8 * _WIDTH or END in ranks.values():
+        raise ValueError(f"{path}: ids must fit {_WIDTH} bytes and leave {END} to the end mark")
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END})
 
 
-def _tokens(column: pa.Array, path: str | None) -> Iterator[np.ndarray]:
+def text_tokens(column: pa.Array, path: str | None) -> Iterator[np.ndarray]:
     """Ids of each text, special tokens' strings as ordinary text; null and empty texts have none.
 
     A text with very long white space goes to the backtracking encoder, which gives
@@ -92,7 +94,7 @@ def _counter(length: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
-            total += sum(len(ids) + 1 for ids in _tokens(batch.column(1), path))
+            total += sum(len(ids) + 1 for ids in text_tokens(batch.column(1), path))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([total], pa.int64())})
 
     return run
@@ -122,7 +124,7 @@ def _sequencer(first: dict[int, int], counts: dict[int, int], n: int, length: in
         for batch in batches:
             parts, ready = [held], []
             filled = len(held)
-            for doc, ids in zip(batch.column(0).to_pylist(), _tokens(batch.column(1), path)):
+            for doc, ids in zip(batch.column(0).to_pylist(), text_tokens(batch.column(1), path)):
                 parts += (ids.astype(np.uint16), mark)
                 rest = len(ids) + 1
                 seen += rest

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .base import checkpoint, packed, unpacked
 from .components import connected_components
 
@@ -54,16 +55,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "hash", "fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "hash", "fp"])
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, hash of the text, fp long): a row for each row of ``docs``."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, hash long, fp long")
 
 
 def _thermometer(x):
@@ -190,15 +194,37 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "hash", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id.
+def candidates(docs: DataFrame, shingle: int, distance: int = DISTANCE) -> DataFrame:
+    """(doc, ref), doc > ref: links between the smallest doc_ids of near fingerprints, and from each text to the smallest of its own."""
+    prints = checkpoint(fingerprints(docs, shingle))
+    least = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = prints.join(least, "fp").where("doc_id > least").select(F.col("doc_id").alias("doc"), F.col("least").alias("ref"))
+    near = links(least.select("fp"), distance)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
+    near = near.where("la <> lb").select(F.greatest("la", "lb").alias("doc"), F.least("la", "lb").alias("ref"))
+    return same.unionByName(near).distinct()
+
 
-    Rows with equal doc_id and text count as one document.  Rows without a doc_id
-    stay.  Of different texts under one doc_id only those of its own class stay.
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest doc_id.
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of
+    0.8 or more, computed exactly; a group is what links reach.  Candidates are the
+    links of SimHash fingerprints over the same shingles and, as these miss texts of
+    0.8 that differ in more bits, the shared prefixes of ``jaccard``.  Of texts with
+    the smallest doc_id the one with the smallest hash stays.  Null and empty texts
+    are copies of each other.  Rows without a doc_id stay; rows with equal doc_id and
+    text count as one document.
     """
-    keep = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept"), F.col("hash").alias("kept_hash")).distinct()
-    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(F.col("text").cast("string")))
-    keep = checkpoint(keep)
+    text = F.col("text").cast("string")
+    first, own = jaccard.distinct_sets(docs)
+    pairs = jaccard.prefix_candidates(first).unionByName(candidates(first.select(F.col("doc").alias("doc_id"), "text"), jaccard.SHINGLE, distance))
+    node = lambda doc, hash: F.xxhash64(doc, hash)
+    found = jaccard.similar(first, checkpoint(pairs.distinct())).select(node("doc", "hash").alias("a"), node("ref", "ref_hash").alias("b"))
+    roots = checkpoint(connected_components(found, "a", "b"))
+    members = own.join(roots.hint("merge"), own["node"] == roots["node"], "left").select("doc", "hash", F.coalesce("root", own["node"]).alias("root"))
+    keep = checkpoint(members.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("k")).select(F.col("k.doc").alias("kept"), F.col("k.hash").alias("kept_hash")))
+    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text))
     rows = rows.join(keep.hint("merge"), (rows["id"] == keep["kept"]) & (rows["hash"] == keep["kept_hash"]), "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
     return rows.select(*unpacked(rows, docs.columns))
 

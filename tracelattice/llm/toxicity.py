@@ -26,10 +26,10 @@ from .base import checkpoint, packed, table, unpacked
 
 #: Most labelled rows that training looks at: those with the smallest hashes of doc_id.
 TRAINING_ROWS = 20_000
-#: Most terms of the lexicon.
-MAX_TERMS = 500
-#: Prefix lengths that may become terms.
-PREFIXES = range(3, 11)
+#: Most terms of the lexicon, and most prefixes and words that are looked at for it, by toxic documents.
+MAX_TERMS, MAX_KEYS = 500, 20_000
+#: Prefix lengths that may become terms; letters of the longest word that may.
+PREFIXES, LONGEST = range(3, 11), 40
 #: A term occurs in at least so many toxic documents of the sample, and this share of them.
 MIN_DOCS, MIN_SHARE = 5, 0.004
 #: Natural log of the smallest ratio between a term's rates in toxic and in other documents.
@@ -46,12 +46,14 @@ REMEMBERED = 400_000
 #: States of the product automaton that are kept; beyond that it is built anew.
 STATES = 50_000
 
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with signs that stand for letters between them.
+_WORDS = re.compile(r"[^\W_](?:[\w*@$#!+]*[^\W_])?")
 _OPEN, _CLOSE = "“«„‹", "”»‟›"
 
 
-def allowed_edits(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 10 else 2
+def allowed_edits(length: int, masked: bool = False) -> int:
+    """By a term's length; a short term may differ by one if the word is masked, that is has a digit or sign in it."""
+    return int(masked) if length < 5 else 1 if length < 10 else 2
 
 
 @dataclass(frozen=True)
@@ -79,18 +81,18 @@ class Matcher:
         # edits that still make sense below a node
         self.most = [0] * len(self.children)
         for node in range(len(self.children) - 1, -1, -1):
-            self.most[node] = max([*(allowed_edits(len(terms[k].text)) for k in self.ends[node]), *(self.most[n] for n in self.children[node].values())], default=0)
+            self.most[node] = max([*(allowed_edits(len(terms[k].text), True) for k in self.ends[node]), *(self.most[n] for n in self.children[node].values())], default=0)
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple[frozenset, tuple | None]] = []
+        self.states: list[tuple[frozenset, tuple | None, bool]] = []
         self.steps: list[dict[str, int]] = []
         self.memory: dict[str, tuple[int, int] | None] = {}
-        self.start = self._state({0: 0}, None)
+        self.start = self._state({0: 0}, None, False)
 
-    def _state(self, front: dict[int, int], best: tuple | None) -> int:
-        """The number of a state: reachable trie nodes with their fewest edits, and the best prefix match."""
+    def _state(self, front: dict[int, int], best: tuple | None, masked: bool) -> int:
+        """The number of a state: reachable trie nodes with their fewest edits, the best prefix match, and whether a letter was masked."""
         work = sorted(front.items(), key=lambda x: x[1])
         while work:  # letters of the term that the word leaves out
             node, e = work.pop()
@@ -101,9 +103,9 @@ class Matcher:
                         work.append((n, e + 1))
         for node, e in front.items():
             for k in self.ends[node]:
-                if self.terms[k].prefix and e <= allowed_edits(len(self.terms[k].text)):
+                if self.terms[k].prefix and e <= allowed_edits(len(self.terms[k].text), masked):
                     best = min(best or (99, 0), (e, k))
-        key = (frozenset(front.items()), best)
+        key = (frozenset(front.items()), best, masked)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
@@ -111,7 +113,7 @@ class Matcher:
         return self.numbers[key]
 
     def _step(self, state: int, c: str) -> int:
-        nodes, best = self.states[state]
+        nodes, best, masked = self.states[state]
         front: dict[int, int] = {}
         for node, e in nodes:
             if e + 1 <= self.most[node] and front.get(node, 99) > e + 1:
@@ -120,7 +122,7 @@ class Matcher:
                 cost = e + (letter != c)
                 if cost <= self.most[n] and front.get(n, 99) > cost:
                     front[n] = cost
-        return self._state(front, best)
+        return self._state(front, best, masked or not c.isalpha())
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the best match, fewest edits first; None if no term is near enough."""
@@ -135,10 +137,10 @@ class Matcher:
             state = following
             if not self.states[state][0]:
                 break
-        nodes, best = self.states[state]
+        nodes, best, masked = self.states[state]
         for node, e in nodes:
             for k in self.ends[node]:
-                if e <= allowed_edits(len(self.terms[k].text)):
+                if e <= allowed_edits(len(self.terms[k].text), masked):
                     best = min(best or (99, 0), (e, k))
         return best
 
@@ -156,26 +158,47 @@ class Matcher:
 FEATURES = ["exact_abuse", "fuzzy_abuse", "exact_quoted", "fuzzy_quoted", "n_words"]
 
 
-def quotation(text: str, start: int, before: list[str]) -> float:
-    """From 0 (the writer's own words) to 1 (a quotation)."""
-    line = text[text.rfind("\n", max(0, start - 2000), start) + 1 : start] if start else ""
-    line = line[-2000:]
-    inside = line.count('"') % 2 == 1 or any(line.rfind(o) > line.rfind(c) for o, c in zip(_OPEN, _CLOSE))
-    return min(1.0, 0.75 * inside + 0.4 * sum(w in REPORTING for w in before))
+class Quotations:
+    """Whether places of a text, asked in rising order, lie within quotation marks of their line; each letter is passed once."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self._new_line()
+
+    def _new_line(self) -> None:
+        self.straight, self.opened, self.closed = 0, [-1] * len(_OPEN), [-1] * len(_CLOSE)
+
+    def inside(self, place: int) -> bool:
+        line = self.text.rfind("\n", self.at, place)
+        if line >= 0:
+            self.at = line + 1
+            self._new_line()
+        self.straight += self.text.count('"', self.at, place)
+        for marks, last in ((_OPEN, self.opened), (_CLOSE, self.closed)):
+            for k, mark in enumerate(marks):
+                last[k] = max(last[k], self.text.rfind(mark, self.at, place))
+        self.at = place
+        return self.straight % 2 == 1 or any(o > c for o, c in zip(self.opened, self.closed))
 
 
 def features(text: str | None, matcher: Matcher) -> list[float]:
-    """Sums over the hits of a whole text, and its number of words."""
+    """Sums over the hits of a whole text, and its number of words.
+
+    A hit counts from 0 (the writer's own words) to 1 (a quotation): 0.75 within
+    quotation marks, 0.4 for each reporting word among the WINDOW before it.
+    """
     lower = (text or "").lower()
     words = _WORDS.findall(lower)
     out = [0.0, 0.0, 0.0, 0.0, float(len(words))]
     hits = {w: found for w in set(words) if (found := matcher.known(w))}
     if hits:
         before: list[str] = []
+        quotations = Quotations(lower)
         for m in _WORDS.finditer(lower):
             word = m[0]
             if word in hits:
-                quoted, fuzzy = quotation(lower, m.start(), before), hits[word][0] > 0
+                quoted = min(1.0, 0.75 * quotations.inside(m.start()) + 0.4 * sum(w in REPORTING for w in before))
+                fuzzy = hits[word][0] > 0
                 out[fuzzy] += 1 - quoted
                 out[2 + fuzzy] += quoted
             before.append(word)
@@ -252,7 +275,7 @@ def _keys(text: str | None) -> set[str]:
     keys: set[str] = set()
     for w in set(_WORDS.findall((text or "").lower())):
         keys.update(w[:i] for i in PREFIXES if i <= len(w))
-        if PREFIXES[0] <= len(w) <= 40:
+        if PREFIXES[0] <= len(w) <= LONGEST:
             keys.add(w + "$")
     return keys
 
@@ -278,12 +301,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
     """(text, toxic) of at most ``most`` labelled documents outside the held-out fifth.
 
-    Conflicting labels of a document count as toxic; null labels and ids take no part.
+    Conflicting labels of a document count as toxic; null labels and ids take no part;
+    of rows that repeat a doc_id the smallest text counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropna()
     known = known.where(F.crc32(F.col("label_id").cast("string")) % 5 != 0).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     few = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "label_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "label_id")
+    return texts.groupBy("label_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _features_of(model: Model):
@@ -303,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Mode
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.mapInArrow(_counted, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     near = counts.where((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) >= MIN_LOG_ODDS - 1e-9))
-    best = near.orderBy(F.desc("toxic"), "clean", "key").limit(40 * MAX_TERMS).collect()
+    best = near.orderBy(F.desc("toxic"), "clean", "key").limit(MAX_KEYS).collect()
     model = Model(select_terms({r["key"]: (r["toxic"], r["clean"]) for r in best}, toxic, clean))
     found = rows.select(F.col("toxic").alias("key"), "text").mapInArrow(_features_of(model), "key int, " + ", ".join(f"{f} double" for f in FEATURES)).collect()
     model.weights = fit_weights(np.array([r[1:] for r in found], float), np.array([r[0] for r in found]))

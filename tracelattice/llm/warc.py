@@ -37,7 +37,10 @@ def _header(value: object) -> str:
 
 
 def record(kind: str, page_id: int | None, url: str | None, sha1: bytes, length: int, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header with the full payload's length and has no payload."""
+    """One WARC record; a revisit keeps the HTTP header with the full payload's length and has no payload.
+
+    A record is named by its page: pages with equal or no page_id share a WARC-Record-ID.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     name = "" if page_id is None else page_id
