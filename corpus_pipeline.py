@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelattice.llm import jaccard, lines, packing, substring, toxicity
+from tracelattice.llm import lines, packing, simhash, substring, toxicity
 from tracelattice.llm.base import checkpoint, remove_folder, shared_folder, table
 
 
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts of which 0.8 or more of the five-word shingles are those of an earlier text that stays."""
-    return jaccard.drop_near_copies(docs)
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a text: its bin, the offset in it and the bin's final size, in words."""
-    return packing.pack_lengths(packing.word_lengths(docs))
+    """A row for each piece of a text: its bin, the offset in it and the bin's final size, in tokens."""
+    return packing.placements(packing.pack_texts(docs))
 
 
 STAGES = [
