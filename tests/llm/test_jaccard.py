@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tracelattice.llm import simhash
 
@@ -43,7 +45,9 @@ def test_links_of_fingerprints_alone(spark):
     rng = random.Random(9)
     texts = [prose(rng, 400) for _ in range(20)]
     texts += [f"{t} tail" for t in texts]
-    found = {(r["doc"], r["ref"]) for r in simhash.candidates(documents(spark, texts), 5).collect()}
-    near = {(i + 20, i) for i in range(20) if (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 20], 5)).bit_count() <= 3}
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    own = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(prints)], "node long, fp long")
+    found = {(max(r), min(r)) for r in simhash.fingerprint_candidates(own).collect()}
+    near = {(i + 20, i) for i in range(20) if (prints[i] ^ prints[i + 20]).bit_count() <= 3}
     assert len(near) > 10
     assert found == near

@@ -9,6 +9,7 @@ nearest earlier holder.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .substring import _linked, word_hashes
 
 #: Words of a shingle; least share of common shingles, in tenths.
 SHINGLE, TENTHS = 5, 8
+#: Sets that are held against one in the same task, on average.
+BLOCK = 1024
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -38,64 +41,72 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(run ^ run >> np.uint64(32))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        keys = [hashlib.md5(shingles(t.as_py()).tobytes()).digest() for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], ["doc", "hash", "key"])
+def node_of(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set; texts of equal sets are copies."""
+    return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first shingles of each set, in the columns of ``substring._linked``; ``pos`` is the set's size."""
+    """The first shingles of each set, in the columns of ``substring._linked``; ``pos`` is the set's size.
+
+    Of the copies of a set within one partition the first stands for all.
+    """
+    seen: set[int] = set()
     for batch in batches:
-        parts, docs, sizes = [np.empty(0, np.uint64)], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        parts, nodes, sizes = [np.empty(0, np.uint64)], [], []
+        for text in batch.column(0):
             s = shingles(text.as_py())
-            parts.append(s[: len(s) + (-TENTHS * len(s) // 10) + 1])
-            docs.append(doc)
-            sizes.append(len(s))
+            node = node_of(s)
+            if node not in seen:
+                seen.add(node)
+                parts.append(s[: len(s) + (-TENTHS * len(s) // 10) + 1])
+                nodes.append(node)
+                sizes.append(len(s))
         counts = [len(p) for p in parts[1:]]
         h = np.concatenate(parts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(docs, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.full(len(h), -1, np.int32)), pa.array(np.zeros(len(h), np.int64))], ["h", "doc", "pos", "before", "sides"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.full(len(h), -1, np.int32)), pa.array(np.zeros(len(h), np.int64))], ["h", "doc", "pos", "before", "sides"])
+
+
+def prefix_candidates(texts: DataFrame) -> DataFrame:
+    """(a, b): the node of each ``text`` with those of the first and the nearest holder of its prefix shingles, if their sizes allow 0.8."""
+    prefixes = texts.select("text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
+    links = prefixes.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int")
+    return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select(F.col("doc").alias("a"), F.col("ref").alias("b"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], ["doc", "hash", "set"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(t.as_py()).tobytes() for t in batch.column(4)], pa.binary())], ["b", "part", "member", "node", "set"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each part that are similar to its first row, of which the set is held; the rest streams by."""
+    hub, of = None, None
     for batch in batches:
-        near = []
-        for a, b in zip(batch.column(4), batch.column(5)):
-            a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            near.append(10 * both >= TENTHS * (len(a) + len(b) - both))
-        yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
-
-
-def distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, hash, text) with one text of each set of shingles, and (doc, hash, node) of the same; node names it."""
-    text = F.col("text").cast("string")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    keys = checkpoint(rows.mapInArrow(_keys, "doc long, hash long, key binary").distinct())
-    own = checkpoint(keys.groupBy("key").agg(F.min(F.struct("doc", "hash")).alias("least")).select("least.doc", "least.hash", F.xxhash64("least.doc", "least.hash").alias("node")))
-    first = rows.join(own.select("doc", "hash").hint("merge"), ["doc", "hash"])
-    return first.groupBy("doc", "hash").agg(F.first("text").alias("text")), own
-
-
-def prefix_candidates(first: DataFrame) -> DataFrame:
-    """(doc, ref): each text with the first and the nearest earlier holder of its prefix shingles, if their sizes allow 0.8."""
-    prefixes = first.select("doc", "text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
-    links = prefixes.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int")
-    return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select("doc", "ref")
-
-
-def similar(first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, hash, ref, ref_hash): the pairs (doc, ref) whose similarity, computed exactly, is 0.8 or more."""
-    involved = checkpoint(pairs.select("doc").unionByName(pairs.select(F.col("ref").alias("doc"))).distinct())
-    sets = checkpoint(first.join(involved.hint("merge"), "doc", "left_semi").select("doc", "hash", "text").mapInArrow(_sets, "doc long, hash long, set binary"))
-    refs = sets.select(F.col("doc").alias("ref"), F.col("hash").alias("ref_hash"), F.col("set").alias("ref_set"))
-    both = pairs.join(sets.hint("merge"), "doc").join(refs.hint("merge"), "ref").select("doc", "hash", "ref", "ref_hash", "set", "ref_set")
-    return both.mapInArrow(_similar, "doc long, hash long, ref long, ref_hash long")
+        found = []
+        for b, part, member, node, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+            own = np.frombuffer(raw.as_py(), np.uint64)
+            if not member:
+                hub, of = own, (b, part)
+            elif (b, part) == of:
+                both = len(np.intersect1d(own, hub, assume_unique=True))
+                if 10 * both >= TENTHS * (len(own) + len(hub) - both):
+                    found.append((node, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def similar(rows: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes whose similarity, computed exactly, is 0.8 or more.
+
+    ``rows`` (doc, hash, text) has the texts and ``own`` (node, doc, hash) the text that
+    stands for each node.  The sets held against one node are dealt over as many
+    parts as their number asks for.
+    """
+    parts = checkpoint(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    members = pairs.join(parts, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("member"))
+    hubs = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
+    needs = checkpoint(members.unionByName(hubs).join(own.hint("merge"), "node"))
+    # rows that repeat a doc_id and its text meet here again; their pairs are the same
+    texts = needs.join(rows.hint("merge"), ["doc", "hash"]).select("b", "part", "member", "node", "text")
+    sets = texts.mapInArrow(_sets, "b long, part int, member int, node long, set binary")
+    return sets.repartition("b", "part").sortWithinPartitions("b", "part", "member").mapInArrow(_similar, "a long, b long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .base import checkpoint, packed, unpacked
+from .base import checkpoint, packed, release, unpacked
 from .components import connected_components
 
 SEED = 42
@@ -55,19 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "hash", "fp"])
-
-    return run
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "hash", "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, hash of the text, fp long): a row for each row of ``docs``."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, hash long, fp long")
 
 
 def _thermometer(x):
@@ -194,15 +191,21 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "hash", "fp", "component_id")
 
 
-def candidates(docs: DataFrame, shingle: int, distance: int = DISTANCE) -> DataFrame:
-    """(doc, ref), doc > ref: links between the smallest doc_ids of near fingerprints, and from each text to the smallest of its own."""
-    prints = checkpoint(fingerprints(docs, shingle))
-    least = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    same = prints.join(least, "fp").where("doc_id > least").select(F.col("doc_id").alias("doc"), F.col("least").alias("ref"))
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column(2)]
+        nodes = pa.array([jaccard.node_of(jaccard.shingles(t)) for t in texts], pa.int64())
+        prints = np.array([fingerprint(t, jaccard.SHINGLE) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(prints)], ["doc", "hash", "node", "fp"])
+
+
+def fingerprint_candidates(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links of (node, fp) rows, from each node to the smallest of its own fingerprint and between those of near fingerprints."""
+    least = checkpoint(own.groupBy("fp").agg(F.min("node").alias("least")))
+    same = own.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     near = links(least.select("fp"), distance)
     near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
-    near = near.where("la <> lb").select(F.greatest("la", "lb").alias("doc"), F.least("la", "lb").alias("ref"))
-    return same.unionByName(near).distinct()
+    return same.unionByName(near.select(F.col("la").alias("a"), F.col("lb").alias("b")))
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -217,12 +220,15 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     text count as one document.
     """
     text = F.col("text").cast("string")
-    first, own = jaccard.distinct_sets(docs)
-    pairs = jaccard.prefix_candidates(first).unionByName(candidates(first.select(F.col("doc").alias("doc_id"), "text"), jaccard.SHINGLE, distance))
-    node = lambda doc, hash: F.xxhash64(doc, hash)
-    found = jaccard.similar(first, checkpoint(pairs.distinct())).select(node("doc", "hash").alias("a"), node("ref", "ref_hash").alias("b"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    named = rows.mapInArrow(_named, "doc long, hash long, node long, fp long")
+    own = checkpoint(named.groupBy("node").agg(F.min(F.struct("doc", "hash", "fp")).alias("x")).select("node", "x.doc", "x.hash", "x.fp"))
+    pairs = jaccard.prefix_candidates(rows).unionByName(fingerprint_candidates(own.select("node", "fp"), distance))
+    pairs = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), pairs))
+    release(docs.sparkSession)
     roots = checkpoint(connected_components(found, "a", "b"))
-    members = own.join(roots.hint("merge"), own["node"] == roots["node"], "left").select("doc", "hash", F.coalesce("root", own["node"]).alias("root"))
+    members = own.join(roots.hint("merge"), "node", "left").select("doc", "hash", F.coalesce("root", "node").alias("root"))
     keep = checkpoint(members.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("k")).select(F.col("k.doc").alias("kept"), F.col("k.hash").alias("kept_hash")))
     rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text))
     rows = rows.join(keep.hint("merge"), (rows["id"] == keep["kept"]) & (rows["hash"] == keep["kept_hash"]), "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
