@@ -22,6 +22,9 @@ from .substring import _linked, word_hashes
 
 #: Words of a shingle; least share of common shingles, in tenths.
 SHINGLE, TENTHS = 5, 8
+#: Bits in which the fingerprints of two sets of LARGE shingles or more may differ.  At a similarity
+#: of 0.8 they differ in 9.7 of 64 on average, with a deviation of 2.9; unrelated ones in 32.
+FAR, LARGE = 24, 50
 #: Sets that are held against one in the same task, on average.
 BLOCK = 1024
 
@@ -68,10 +71,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): the node of each ``text`` with those of the first and the nearest holder of its prefix shingles, if their sizes allow 0.8."""
+    """(a, b, size): the node of each ``text`` with those of the first and the nearest holder of its prefix shingles, if their sizes allow 0.8.
+
+    ``size`` is the smaller set's.
+    """
     prefixes = texts.select("text").mapInArrow(_prefixes, "h long, doc long, pos int, before int, sides long")
     links = prefixes.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int")
-    return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select(F.col("doc").alias("a"), F.col("ref").alias("b"))
+    return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select(F.col("doc").alias("a"), F.col("ref").alias("b"), F.least("pos", "at").alias("size"))
+
+
+def near_prints(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, size) whose fingerprints in ``own`` (node, fp) are not FAR apart; small sets all pass."""
+    fps = lambda c: own.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")).hint("merge")
+    both = pairs.groupBy("a", "b").agg(F.min("size").alias("size")).join(fps("a"), "a").join(fps("b"), "b")
+    return both.where((F.col("size") < LARGE) | (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= FAR)).select("a", "b")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,8 +223,11 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
     named = rows.mapInArrow(_named, "doc long, hash long, node long, fp long")
     own = checkpoint(named.groupBy("node").agg(F.min(F.struct("doc", "hash", "fp")).alias("x")).select("node", "x.doc", "x.hash", "x.fp"))
-    pairs = jaccard.prefix_candidates(rows).unionByName(fingerprint_candidates(own.select("node", "fp"), distance))
-    pairs = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
+    shared = jaccard.near_prints(jaccard.prefix_candidates(rows).select(high, low, "size"), own)
+    pairs = checkpoint(shared.unionByName(fingerprint_candidates(own.select("node", "fp"), distance).select(high, low)).distinct())
+    del named, shared
+    release(docs.sparkSession)
     found = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), pairs))
     release(docs.sparkSession)
     roots = checkpoint(connected_components(found, "a", "b"))
