@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,29 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint, checkpoint_dir, remove_folder, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        current = sc.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed now and reread from the shared folder: later plans don't recompute it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 
@@ -49,14 +30,6 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared one; the caller's tasks create it."""
-    root = checkpoint_dir(spark)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI; works in tasks."""
     from pyarrow import fs
@@ -67,13 +40,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def remove_folder(spark: SparkSession, uri: str) -> None:
-    """Deletes a folder of the shared store through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(column: pa.Array) -> Iterator[str | None]:
     """The strings of a column one by one, so that no second copy of a batch is made."""
     for value in column:

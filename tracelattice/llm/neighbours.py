@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checkpoint, grouped, partitions_for, table
+from .base import checkpoint, grouped, table
 
 #: Neighbours returned; every so many-th vec_id is a query.
 TOP, EVERY = 20, 20
@@ -27,8 +27,8 @@ SAMPLE, PIVOTS = 8192, 128
 ORDER, POSTED, OPENED = 48, 8, 24
 #: Rows of a block that are reranked for a query: so many at least, and this share of the block.
 RERANKED, RERANKED_SHARE = 400, 0.5
-#: Bounds on a block's rows; within them, about half of a task's even share.
-BLOCK = (256, 8192)
+#: Rows of a block, on average.
+BLOCK = 4096
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float64) -> np.ndarray:
@@ -141,7 +141,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     or one without usable rows, gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = checkpoint(usable(vectors))
+    rows = usable(vectors)
     pivots = choose_pivots(rows, PIVOTS)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -149,8 +149,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     schema = f"pivot int, id long, pivots binary, v {kind}"
     posts = rows.mapInArrow(_posted(pivots, False), schema)
     sizes = {r["pivot"]: r["count"] for r in posts.groupBy("pivot").count().collect()}  # a row for each pivot
-    block = min(BLOCK[1], max(BLOCK[0], -(-sum(sizes.values()) // (2 * partitions_for(spark)))))
-    cuts = F.element_at(F.lit([max(1, -(-sizes.get(p, 0) // block)) for p in range(len(pivots))]), F.col("pivot") + 1)
+    cuts = F.element_at(F.lit([max(1, -(-sizes.get(p, 0) // BLOCK)) for p in range(len(pivots))]), F.col("pivot") + 1)
     left = posts.select("pivot", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("block"), F.lit(0).alias("side"), "id", "pivots", "v")
     asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_posted(pivots, True), schema)
     right = asked.select("pivot", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("block"), F.lit(1).alias("side"), "id", "pivots", "v")
