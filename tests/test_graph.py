@@ -125,3 +125,28 @@ def test_dense_index(spark):
     got = ids.dense_index(df, ["k"], "n", 5)
     assert got.where("n <> k + 5").count() == 0
     assert ids.dense_index(df.where("k < 0"), ["k"]).count() == 0
+
+
+def test_batches_belong_to_their_graph(spark, tmp_path):
+    """One folder for two graphs, two variants and two numbers of batches: none reads what another has left."""
+    graphs = [[(1, 2), (2, 3), (3, 4), (1, 3)], [(11, 12), (12, 13), (13, 14), (14, 15), (12, 14)]]
+    for _ in range(2):
+        for edges in graphs:
+            frame = spark.createDataFrame(edges, "`from` long, `to` long")
+            for variant in bt.VARIANTS:
+                expected = {tuple(r) for r in bt.betweenness(frame, variant).collect()}
+                for batches in (1, 3):
+                    assert {tuple(r) for r in bt.betweenness_in_batches(frame, f"file://{tmp_path}/state", batches, variant).collect()} == expected
+    assert len(list(tmp_path.glob("state/graph=*/variant=*/batches=*"))) == 8
+
+
+def test_levels_in_batches_of_sources(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 40) for i in range(40) for k in (1, 2)], "`from` long, `to` long").distinct()
+    whole = {r["node_id"]: r["betweenness"] for r in bt.betweenness(edges, method="tasks").collect()}
+    parts = bt._by_batches(edges, graph.sources(edges), "reference", 800)
+    assert {r["node_id"]: pytest.approx(r["part"]) for r in parts.where("part <> 0").collect()} == whole
+
+
+def test_rows_within_bounds(spark):
+    rows = spark.createDataFrame([(i,) for i in (-3, -2, 0, 5, 6)], "node_id long")
+    assert sorted(r[0] for r in graph.within(rows, 5, 2).collect()) == [-2, 0, 5]

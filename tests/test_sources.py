@@ -135,3 +135,18 @@ def test_streaming(spark, tmp_path):
         (tmp_path / "in" / f"{n}.yarrp").write_text(SCAN)
         stream_hops(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination(60)
         assert spark.read.parquet(f"file://{tmp_path}/out").count() == 7 * (n + 1)
+
+
+@pytest.mark.parametrize("family", ["V4", "V6"])
+@pytest.mark.parametrize("mode", ["failfast", "permissive"])
+def test_parsing_compiles(spark, family, mode):
+    """The parser's code stays within the size that is compiled."""
+    lines = spark.createDataFrame([("1.2.3.4 1 2 11 0 3 5.6.7.8 9 9" if family == "V4" else "::1 1 2 11 0 3 ::2 9 9",)], "value string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        assert yarrp.hops(lines, family, mode).count() == 1
+        assert yarrp.hops(lines, family, mode).collect()[0]["ttl"] == 3
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")

@@ -14,6 +14,11 @@ def distinct_edges(edges: DataFrame, bounds: DataFrame | None = None) -> DataFra
     return out.join(F.broadcast(bounds.limit(1)), F.col("from").between(-F.col("unknown"), F.col("known"))).select("from", "to")
 
 
+def within(rows: DataFrame, known: int, unknown: int, node: str = "node_id") -> DataFrame:
+    """The rows whose ``node`` lies within -unknown..known."""
+    return rows.where(F.col(node).between(-unknown, known))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("to").alias("from"), F.col("from").alias("to"))
 

@@ -37,7 +37,8 @@ def node_mapping(hops: DataFrame, ordinal: list[str], first: int = 1) -> DataFra
     seen = hops.select(F.explode(F.array(*(F.struct(F.col(c).alias("ip"), F.lit(k).alias("k")) for k, c in enumerate(("target", "hop"))))).alias("x"), *ordinal)
     place = F.struct(*ordinal, "x.k")
     met = seen.select("x.ip", place.alias("place")).where("ip is not null").groupBy("ip").agg(F.min("place").alias("place"))
-    return dense_index(met, ["place", "ip"], "node_id", first).select("ip", "node_id")
+    # dealing by range samples its input first
+    return dense_index(checkpoint(met), ["place", "ip"], "node_id", first).select("ip", "node_id")
 
 
 def encode_hops(hops: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -71,10 +71,12 @@ def number_edges(edges: DataFrame, unknown: DataFrame) -> DataFrame:
     """(from, to) of natural keys; only unknown ends need the lookup."""
     out = edges
     for end in ("from", "to"):
-        u = unknown.select(F.col("anchor").alias(f"{end}_anchor"), F.col("depth").alias(f"{end}_depth"), F.col("node_id").alias(f"{end}_id"))
-        out = out.join(u, [f"{end}_anchor", f"{end}_depth"], "left")
-    side = lambda end: F.when(F.col(f"{end}_depth") > 0, F.col(f"{end}_id")).otherwise(F.col(f"{end}_anchor")).cast("long").alias(end)
-    return out.select(side("from"), side("to"))
+        anchor, depth = f"{end}_anchor", f"{end}_depth"
+        rest = [c for c in out.columns if c not in (anchor, depth)]
+        known = out.where(F.col(depth) == 0).select(F.col(anchor).cast("long").alias(end), *rest)
+        silent = out.where(F.col(depth) > 0).join(unknown.select(F.col("anchor").alias(anchor), F.col("depth").alias(depth), F.col("node_id").alias(end)), [anchor, depth])
+        out = known.unionByName(silent.select(F.col(end).cast("long").alias(end), *rest))
+    return out.select("from", "to")
 
 
 def max_node_ids(mapping: DataFrame, walked: DataFrame) -> DataFrame:

@@ -1,15 +1,51 @@
-"""Lineage cuts through the shared folder."""
+"""Lineage cuts and intermediate tables, in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed and reread; the folder is ``spark.checkpoint.dir``, or a local one where that is unset."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset and Spark runs in one process (tests), a local folder."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tracelattice-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelattice-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system: the default one where it names none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{qualified(spark, checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` computed and reread from the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """``df`` and ``columns``, which are computed once a row: the optimizer doesn't copy them into what uses them."""
+    from pyspark.sql import functions as F
+
+    packed = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select(*df.columns, *(F.col("_once").getField(n).alias(n) for n in columns))

@@ -6,6 +6,7 @@ Each step writes its tables and a later run may start from them, as the switches
 from __future__ import annotations
 
 import logging
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.ip import address_number, ipv4_text, ipv6_text
 from ..operators import betweenness, degree, graph, ids, paths
 from ..sources import tables, warts, yarrp
 from .config import Config, Dataset, Features, ensure_paths
-from .lineage import checkpoint
+from .lineage import checkpoint, qualified
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +37,7 @@ def warts_graph(traces: DataFrame, gap_mode: str = "reference") -> tuple[DataFra
     rows = checkpoint(rows.select(*place, "source_ip", F.col("h.pos").alias("pos"), F.col("h.probe_ttl").alias("ttl"), F.col("h.kind").alias("kind"), address_number(F.col("h.kind"), F.col("h.addr")).alias("ip")))
     met = rows.select(*place, F.lit(-1).alias("pos"), F.col("source_ip").alias("ip")).unionByName(rows.where(F.col("ip").isNotNull()).select(*place, "pos", "ip"))
     first = met.where("ip is not null").groupBy("ip").agg(F.min(F.struct(*place, "pos")).alias("place"))
-    mapping = checkpoint(ids.dense_index(first, ["place", "ip"], "node_id", 0).select("ip", "node_id"))
+    mapping = checkpoint(ids.dense_index(checkpoint(first), ["place", "ip"], "node_id", 0).select("ip", "node_id"))
     m = mapping
     known = rows.where("ip is not null").join(m.select(F.col("ip"), F.col("node_id").alias("hop")), "ip").join(m.select(F.col("ip").alias("source_ip"), F.col("node_id").alias("source")), "source_ip")
     walked = checkpoint(paths.steps(known, place, ["pos"], F.col("source"), gap_mode))
@@ -60,34 +61,46 @@ def _statistics(spark: SparkSession, output: str, features: Features) -> None:
         tables.write_csv(graph.distinct_edges(edges), f"{output}/edges_deduplicated.csv", "from", "to")
     if not features.should_compute_graph:
         return
+    known, unknown = tables.read_max_node_ids(spark, f"{output}/max_node_ids.csv")
     edges = checkpoint(graph.distinct_edges(tables.read_edges(spark, f"{output}/edges_deduplicated.csv")))
+    log.info("%s: %d distinct edges", output, edges.count())
     if features.degree_enabled:
-        tables.write_csv(degree.degree_table(edges), f"{output}/degree.csv", "node_id")
+        tables.write_csv(graph.within(degree.degree_table(edges), known, unknown), f"{output}/degree.csv", "node_id")
+        log.info("%s: degrees written", output)
     b = features.betweenness
     if b.enabled:
         if b.save_intermediate_results_periodically:
             batches = max(1, -(-graph.sources(edges).count() // b.result_batch_size))
-            scores = betweenness.betweenness_in_batches(edges, f"{output}/betweenness", batches)
+            scores = betweenness.betweenness_in_batches(edges, f"{output}/betweenness", batches, tasks=b.max_thread_count)
         else:
-            scores = betweenness.betweenness(edges)
-        tables.write_csv(scores, f"{output}/betweenness.csv", "node_id")
+            scores = betweenness.betweenness(edges, tasks=b.max_thread_count)
+        tables.write_csv(graph.within(scores, known, unknown), f"{output}/betweenness.csv", "node_id")
+        log.info("%s: betweenness written", output)
+
+
+def place(spark: SparkSession, path: str) -> str:
+    """A folder of the configuration as a URI: of this machine in a local run, else of the cluster's store."""
+    if "://" in path or not spark.sparkContext.master.startswith("local"):
+        return qualified(spark, path)
+    return f"file://{os.path.abspath(path)}"
 
 
 def _run(spark: SparkSession, dataset: Dataset, features: Features, kind: str, mode: str) -> None:
-    ensure_paths(dataset)
-    output, inner = f"file://{dataset.output_path}", f"file://{dataset.intermediate_path}"
+    if spark.sparkContext.master.startswith("local") and "://" not in dataset.input_path:
+        ensure_paths(dataset)
+    source, output, inner = (place(spark, p) for p in (dataset.input_path, dataset.output_path, dataset.intermediate_path))
     log.info("%s: %s", kind, dataset.input_path)
     hops = None
     if kind == "yarrp":
         if features.should_preprocess:
-            lines = yarrp.read_lines(spark, f"file://{dataset.input_path}", dataset.read_compressed)
+            lines = yarrp.read_lines(spark, source, dataset.read_compressed)
             yarrp.hops(lines, dataset.address_type, mode).write.mode("overwrite").parquet(f"{inner}/hops")
         hops = features.should_merge
     if hops:
         mapping, edges, most = yarrp_graph(spark.read.parquet(f"{inner}/hops"))
         sixteen = False
     elif kind == "warts" and features.should_preprocess:
-        mapping, edges, most = warts_graph(warts.traces(warts.read_records(spark, f"file://{dataset.input_path}"), mode))
+        mapping, edges, most = warts_graph(warts.traces(warts.read_records(spark, source), mode))
         sixteen = True
     else:
         return _statistics(spark, output, features)

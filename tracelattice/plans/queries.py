@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import ip
 from ..operators import betweenness as bt
 from ..operators import degree, graph, ids, paths
-from ..sources import yarrp
-from .lineage import checkpoint
+from ..sources import tables, yarrp
+from .lineage import checkpoint, remove_folder, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -263,6 +263,75 @@ def trace_betweenness(spark, sf_dir):
     return _rounded(bt.betweenness(_distinct(spark, sf_dir), "reference"))
 
 
+def _kept(spark, name, write, read) -> DataFrame:
+    """What ``read`` finds in a new shared folder that ``write`` has filled."""
+    folder = shared_folder(spark, name)
+    write(folder)
+    found = checkpoint(read(folder))
+    remove_folder(spark, folder)
+    return found
+
+
+def yarrp_text_scan(spark, sf_dir):
+    """Scan rows as plain text files, listed, read and parsed."""
+    scan = lambda folder: yarrp.hops(yarrp.read_lines(spark, folder), "V4", "permissive").select("target", "hop", "ttl")
+    return _kept(spark, "scan", lambda folder: _lines(spark, sf_dir).write.text(folder), scan)
+
+
+def yarrp_bz2_scan(spark, sf_dir):
+    """The same from bzip2 files."""
+    scan = lambda folder: yarrp.hops(yarrp.read_lines(spark, folder, True), "V4", "permissive").select("target", "hop", "ttl")
+    return _kept(spark, "scan", lambda folder: _lines(spark, sf_dir).write.option("compression", "bzip2").text(folder), scan)
+
+
+def edges_csv(spark, sf_dir):
+    return _kept(spark, "edges", lambda folder: tables.write_csv(_edges(spark, sf_dir), folder), lambda folder: tables.read_edges(spark, folder))
+
+
+def edges_deduplicated_csv(spark, sf_dir):
+    return _kept(spark, "edges", lambda folder: tables.write_csv(_distinct(spark, sf_dir), folder, "from", "to"), lambda folder: tables.read_edges(spark, folder))
+
+
+def mapping_csv(spark, sf_dir):
+    mapping = node_mapping(spark, sf_dir).select(_dotted(F.col("ip")).alias("ip"), "node_id")
+    return _kept(spark, "mapping", lambda folder: tables.write_csv(mapping, folder), lambda folder: tables.read_mapping(spark, folder))
+
+
+def max_node_ids_csv(spark, sf_dir):
+    def read(folder):
+        known, unknown = tables.read_max_node_ids(spark, folder)
+        return spark.range(1).select(F.lit(known).cast("long").alias("known"), F.lit(unknown).cast("long").alias("unknown"))
+
+    return _kept(spark, "most", lambda folder: tables.write_csv(max_node_ids(spark, sf_dir), folder), read)
+
+
+def degree_csv(spark, sf_dir):
+    """Degrees of the nodes within -10..100, as a sink and read again."""
+    found = graph.within(degree_stats(spark, sf_dir), 100, 10)
+    return _kept(spark, "degree", lambda folder: tables.write_csv(found, folder, "node_id"), lambda folder: tables.read_degree(spark, folder))
+
+
+def betweenness_csv(spark, sf_dir):
+    return _kept(spark, "scores", lambda folder: tables.write_csv(betweenness_reference(spark, sf_dir), folder, "node_id"), lambda folder: tables.read_betweenness(spark, folder))
+
+
+def resumed_betweenness(spark, sf_dir):
+    """Scores in batches on a folder that holds batches of the reversed graph and a finished run of this one."""
+    edges = _user_steps(spark, sf_dir)
+
+    def run(folder):
+        for graph_ in (graph.reverse(edges), edges):
+            bt.betweenness_in_batches(graph_, folder, 3)
+
+    return _kept(spark, "batches", run, lambda folder: _rounded(bt.betweenness_in_batches(edges, folder, 3)))
+
+
+def trace_betweenness_part(spark, sf_dir):
+    """The trace graph among nodes up to 150, levels joined."""
+    edges = _distinct(spark, sf_dir).where("`from` between -150 and 150 and `to` between -150 and 150")
+    return _rounded(bt.betweenness(edges, "reference", "levels"))
+
+
 _STEPS_SQL = """
 steps AS (SELECT coalesce(lag(l_partkey) OVER w, {source}) AS anchor, l_partkey AS hop,
   greatest(l_linenumber - coalesce(lag(l_linenumber) OVER w, 0) - {gap}, 0)::BIGINT AS k
@@ -301,21 +370,25 @@ steps AS (SELECT coalesce(lag(hop) OVER w, o_custkey + 10000000) AS anchor, hop,
 _USERS_SQL = """
 e AS (SELECT DISTINCT user_id AS "from", nxt AS "to" FROM (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL)
 """
-_PATHS_SQL = f"""{_USERS_SQL},
-walks(s, v, d, n) AS (SELECT DISTINCT "from", "from", 0::BIGINT, 1.0::DOUBLE FROM e UNION ALL SELECT s, "to", d + 1, sum(n) FROM walks JOIN e ON v = "from" WHERE d < 8 GROUP BY s, "to", d + 1),
+_WALKS_SQL = """
+walks(s, v, d, n) AS (SELECT DISTINCT "from", "from", 0::BIGINT, 1.0::DOUBLE FROM e UNION ALL SELECT s, "to", d + 1, sum(n) FROM walks JOIN e ON v = "from" WHERE d < {most} GROUP BY s, "to", d + 1),
 sp AS (SELECT s, v, min(d) AS d, arg_min(n, d) AS sigma FROM walks GROUP BY s, v),
 preds AS (SELECT b.s, b.v, count(*) AS preds FROM sp a JOIN e ON e."from" = a.v JOIN sp b ON b.s = a.s AND b.v = e."to" AND b.d = a.d + 1 GROUP BY b.s, b.v)
 """
-_SCORES_SQL = f"""WITH RECURSIVE {_PATHS_SQL},
+_PATHS_SQL = f"{_USERS_SQL}, {_WALKS_SQL.format(most=12)}"
+_DEPENDENCY_SQL = """
 dep AS (SELECT sw.s, sw.v AS w, sum(sw.sigma * wt.sigma / st.sigma) AS delta FROM sp sw JOIN sp wt ON wt.s = sw.v AND wt.v <> sw.v JOIN sp st ON st.s = sw.s AND st.v = wt.v AND st.d = sw.d + wt.d WHERE sw.s <> sw.v GROUP BY sw.s, sw.v)
-SELECT w AS node_id, round(sum(delta * {{weight}}), 6) AS betweenness FROM dep JOIN preds ON preds.s = dep.s AND preds.v = dep.w GROUP BY w HAVING sum(delta) <> 0
+SELECT w AS node_id, round(sum(delta * {weight}), 6) AS betweenness FROM dep JOIN preds ON preds.s = dep.s AND preds.v = dep.w GROUP BY w HAVING sum(delta) <> 0
 """
+_SCORES_SQL = f"WITH RECURSIVE {_PATHS_SQL}, {_DEPENDENCY_SQL}"
 _REFERENCE = _SCORES_SQL.format(weight="preds")
+_PART_SQL = f"""{_EDGES_SQL.replace('e AS (SELECT DISTINCT "from", "to" FROM edges)', 'e AS (SELECT DISTINCT "from", "to" FROM edges WHERE "from" BETWEEN -150 AND 150 AND "to" BETWEEN -150 AND 150)')}"""
 
 QUERIES = {f.__name__: f for f in (
     yarrp_parse, yarrp_rejects, ipv4_numeric, ipv4_render, ipv6_hi_lo, bucket_v4, bucket_v6, bucket_histogram, node_mapping, max_node_ids, encoded_edges, path_assembly,
     gap_edges, gap_full_edges, edge_list, unknown_nodes, edges_deduplicated, edges_within_bounds, reverse_edges, self_loops, graph_sources,
     degree_in_out, avg_neighbor_degree, iter_avg_neighbor_degree, degree_stats, warts_edges, warts_multi_source_degree,
+    yarrp_text_scan, yarrp_bz2_scan, edges_csv, edges_deduplicated_csv, mapping_csv, max_node_ids_csv, degree_csv, betweenness_csv, resumed_betweenness, trace_betweenness_part,
     user_step_edges, bfs_distance, shortest_path_counts, betweenness_reference, betweenness_brandes, betweenness_levels, batched_merge, trace_betweenness,
 )}
 
@@ -359,3 +432,15 @@ SELECT node_id, sum(i)::BIGINT AS degree_in, sum(o)::BIGINT AS degree_out FROM (
     "betweenness_levels": _REFERENCE,
     "batched_merge": _REFERENCE,
 }
+ORACLES |= {
+    "yarrp_text_scan": ORACLES["yarrp_parse"],
+    "yarrp_bz2_scan": ORACLES["yarrp_parse"],
+    "edges_csv": ORACLES["edge_list"],
+    "edges_deduplicated_csv": ORACLES["edges_deduplicated"],
+    "mapping_csv": f"WITH {_PLACED_SQL} SELECT {_DOT.format(n='ip')} AS ip, node_id FROM mapping",
+    "max_node_ids_csv": ORACLES["max_node_ids"],
+    "degree_csv": f"SELECT * FROM ({ORACLES['degree_stats']}) WHERE node_id BETWEEN -10 AND 100",
+    "betweenness_csv": _REFERENCE,
+    "resumed_betweenness": _REFERENCE,
+    "trace_betweenness_part": f"WITH RECURSIVE {_PART_SQL}, {_WALKS_SQL.format(most=60)}, {_DEPENDENCY_SQL.format(weight='preds')}",
+}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 LINES = "value string, file_name string, block_start long, line_no long"
-HOPS_V4 = "target long, hop long, ttl int"
-HOPS_V6 = "target binary, hop binary, ttl int"
 MAPPING = "ip string, node_id long"
 EDGES = "`from` long, `to` long"
 MAX_NODE_IDS = "known long, unknown long"

@@ -17,6 +17,19 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("enforceSchema", "false").option("mode", "DROPMALFORMED").schema(schemas.EDGES).csv(path)
 
 
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary (ip text, node_id) of an earlier run."""
+    return spark.read.option("header", "true").option("enforceSchema", "false").schema(schemas.MAPPING).csv(path)
+
+
+def read_degree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", "true").option("enforceSchema", "false").schema(schemas.DEGREE).csv(path)
+
+
+def read_betweenness(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", "true").option("enforceSchema", "false").schema(schemas.BETWEENNESS).csv(path)
+
+
 def read_max_node_ids(spark: SparkSession, path: str) -> tuple[int, int]:
     """(known, unknown) of the first row; an empty table is an error."""
     row = spark.read.option("header", "true").schema(schemas.MAX_NODE_IDS).csv(path).first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.ip import checked_ipv4_number, ipv6_bytes, is_ipv4, is_ipv6
+from ..plans.lineage import once
 
 MODES = ("failfast", "permissive")
 #: Order of rows within a scan.
@@ -58,9 +59,10 @@ def parse(lines: DataFrame, family: str = "V4") -> DataFrame:
     """
     if family not in ("V4", "V6"):
         raise ValueError("the family is V4 or V6")
-    rows = lines.where(~F.col("value").startswith("#")).withColumn("fields", F.split("value", " "))
+    rows = once(once(lines, line=F.col("value")).where(~F.col("line").startswith("#")), fields=F.split("line", " "))
     ttl, reason = _checked(F.col("fields"), family)
-    return rows.select(*[c for c in lines.columns if c != "value"], "value", F.get("fields", 0).alias("target_text"), F.get("fields", 6).alias("hop_text"), ttl.alias("ttl"), reason.alias("reason"))
+    rows = once(rows, target_text=F.get("fields", 0), hop_text=F.get("fields", 6), ttl=ttl, reason=reason)
+    return rows.select(*[c for c in lines.columns if c != "value"], "value", "target_text", "hop_text", "ttl", "reason")
 
 
 def hops(lines: DataFrame, family: str = "V4", mode: str = "failfast") -> DataFrame:
