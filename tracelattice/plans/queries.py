@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ip
 from ..operators import betweenness as bt
 from ..operators import degree, graph, ids, paths
-from ..sources import tables, yarrp
+from ..sources import tables, warts, yarrp
 from .lineage import checkpoint, remove_folder, shared_folder
 
 
@@ -284,6 +284,47 @@ def yarrp_bz2_scan(spark, sf_dir):
     return _kept(spark, "scan", lambda folder: _lines(spark, sf_dir).write.option("compression", "bzip2").text(folder), scan)
 
 
+#: A cycle's end as an object of the binary format: what stands between the records of a written scan.
+_CYCLE_STOP = "\x12\x05\x00\x04\x00\x00\x00\x04\x00\x00\x00\x01"
+
+
+def _hex(n: Column, size: int) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+
+
+def _write_warts(traces: DataFrame, folder: str) -> None:
+    """``traces`` as binary scans, a gzip file for each partition; a node is the number in its address."""
+    spark = traces.sparkSession
+    address = lambda kind, node: F.when(kind == "ipv6", F.concat(F.lit("1002"), _hex(node, 16))).when(kind == "firewire", F.concat(F.lit("0804"), _hex(node, 8))).otherwise(F.concat(F.lit("0401"), _hex(node, 4)))
+
+    def hop(h: Column) -> Column:  # parameters 2 (TTL) and 18 (address)
+        body = F.concat(_hex(h["ttl"], 1), address(h["kind"], h["node"]))
+        return F.concat(F.lit("828008"), _hex(F.length(body) / 2, 2), body)
+
+    # parameter 26 (source), the number of hops, the hops, the end of the hops' attachments
+    body = F.concat(F.lit("8080801000060401"), _hex(F.col("source"), 4), _hex(F.size("hops"), 2), F.array_join(F.transform("hops", hop), ""), F.lit("0000"))
+    rows = traces.select(body.alias("body"))
+    rows = rows.select(F.unhex(F.concat(F.lit("12050006"), _hex(F.length("body") / 2, 4), F.col("body"))).cast("string").alias("value"))
+    rows.write.option("compression", "gzip").option("lineSep", _CYCLE_STOP).text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{folder}/*.txt.gz")):
+        name = status.getPath().toString()
+        fs.rename(path(name), path(name.replace(".txt.gz", ".warts.gz")))
+
+
+def warts_scan(spark, sf_dir):
+    """Traces as binary files, listed, decoded and walked."""
+    node = lambda addr: F.conv(F.hex(addr), 16, 10).cast("long")
+
+    def scan(folder):
+        found = warts.traces(warts.read_records(spark, folder))
+        hops = F.transform("hops", lambda h: F.struct(h["pos"].alias("pos"), h["probe_ttl"].alias("ttl"), h["kind"].alias("kind"), node(h["addr"]).alias("node")))
+        return paths.trace_edges(found.select(F.struct("file_name", "record_no").alias("trace_id"), node(F.col("src.addr")).alias("source"), hops.alias("hops")))
+
+    return _kept(spark, "traces", lambda folder: _write_warts(_traces(spark, sf_dir), folder), scan)
+
+
 def edges_csv(spark, sf_dir):
     return _kept(spark, "edges", lambda folder: tables.write_csv(_edges(spark, sf_dir), folder), lambda folder: tables.read_edges(spark, folder))
 
@@ -388,7 +429,7 @@ QUERIES = {f.__name__: f for f in (
     yarrp_parse, yarrp_rejects, ipv4_numeric, ipv4_render, ipv6_hi_lo, bucket_v4, bucket_v6, bucket_histogram, node_mapping, max_node_ids, encoded_edges, path_assembly,
     gap_edges, gap_full_edges, edge_list, unknown_nodes, edges_deduplicated, edges_within_bounds, reverse_edges, self_loops, graph_sources,
     degree_in_out, avg_neighbor_degree, iter_avg_neighbor_degree, degree_stats, warts_edges, warts_multi_source_degree,
-    yarrp_text_scan, yarrp_bz2_scan, edges_csv, edges_deduplicated_csv, mapping_csv, max_node_ids_csv, degree_csv, betweenness_csv, resumed_betweenness, trace_betweenness_part,
+    yarrp_text_scan, yarrp_bz2_scan, warts_scan, edges_csv, edges_deduplicated_csv, mapping_csv, max_node_ids_csv, degree_csv, betweenness_csv, resumed_betweenness, trace_betweenness_part,
     user_step_edges, bfs_distance, shortest_path_counts, betweenness_reference, betweenness_brandes, betweenness_levels, batched_merge, trace_betweenness,
 )}
 
@@ -435,6 +476,7 @@ SELECT node_id, sum(i)::BIGINT AS degree_in, sum(o)::BIGINT AS degree_out FROM (
 ORACLES |= {
     "yarrp_text_scan": ORACLES["yarrp_parse"],
     "yarrp_bz2_scan": ORACLES["yarrp_parse"],
+    "warts_scan": ORACLES["warts_edges"],
     "edges_csv": ORACLES["edge_list"],
     "edges_deduplicated_csv": ORACLES["edges_deduplicated"],
     "mapping_csv": f"WITH {_PLACED_SQL} SELECT {_DOT.format(n='ip')} AS ip, node_id FROM mapping",
