@@ -293,7 +293,10 @@ def _hex(n: Column, size: int) -> Column:
 
 
 def _write_warts(traces: DataFrame, folder: str) -> None:
-    """``traces`` as binary scans, a gzip file for each partition; a node is the number in its address."""
+    """``traces`` as binary scans, a gzip file for each partition; a node is the number in its address.
+
+    The reader leaves out files of up to ``warts.LEAST_BYTES`` bytes, about two traces.
+    """
     spark = traces.sparkSession
     address = lambda kind, node: F.when(kind == "ipv6", F.concat(F.lit("1002"), _hex(node, 16))).when(kind == "firewire", F.concat(F.lit("0804"), _hex(node, 8))).otherwise(F.concat(F.lit("0401"), _hex(node, 4)))
 
