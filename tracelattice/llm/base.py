@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint, checkpoint_dir, remove_folder, shared_folder  # noqa: F401
+from ..plans.lineage import checkpoint, checkpoint_dir, filesystem, release, remove_folder, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner acts on what the driver's collector finds; the last references to a
-    finished plan fall a moment after its job, so one collection is not enough.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
-def filesystem(uri: str):
-    """(pyarrow file system, path in it) of a URI; works in tasks."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        path = uri[len("file:"):]
-        return fs.LocalFileSystem(), "/" + path.lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def text_of(column: pa.Array) -> Iterator[str | None]:
     """The strings of a column one by one, so that no second copy of a batch is made."""
     for value in column:
