@@ -1,10 +1,12 @@
 """The exact check of near copies, and the candidates that SimHash misses.
 
 A 64-bit SimHash of two texts with similarity 0.8 differs in about ten bits, too many
-for a grid of cells.  Further candidates come from prefixes: with shingles in the
-order of their hashes, two sets of that similarity share one of their first
-``size - ceil(0.8 size) + 1``.  Each of these links a text to its first and to its
-nearest earlier holder.
+for a grid of cells.  Further candidates come from prefixes: with shingles in any one
+order, two sets of that similarity share one of their first
+``size - ceil(0.8 size) + 1``.  At first each of these, in the order of their hashes,
+links a text to its first and to its nearest earlier holder, which gathers large
+groups.  Then all pairs that share one and that no link has brought together are
+candidates, with the shingles that a sample finds frequent last; so none is missed.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import checkpoint
-from .substring import _linked, word_hashes
+from .substring import _linked, _whole_runs, word_hashes
 
 #: Words of a shingle; least share of common shingles, in tenths.
 SHINGLE, TENTHS = 5, 8
 #: Bits in which the fingerprints of two sets of LARGE shingles or more may differ.  At a similarity
 #: of 0.8 they differ in 9.7 of 64 on average, with a deviation of 2.9; unrelated ones in 32.
 FAR, LARGE = 24, 50
+#: Texts of the sample that tells frequent shingles; how often it has one at least; most of them; sets of a bucket held against the others at a time.
+#: They set the order of the shingles only: the candidates are complete under any order.
+SAMPLE, OFTEN, FREQUENT, SIDE = 8192, 3, 100_000, 512
 #: Sets that are held against one in the same task, on average.
 BLOCK = 1024
 
@@ -80,6 +85,80 @@ def prefix_candidates(texts: DataFrame) -> DataFrame:
     return links.where(10 * F.least("pos", "at") >= TENTHS * F.greatest("pos", "at")).select(F.col("doc").alias("a"), F.col("ref").alias("b"), F.least("pos", "at").alias("size"))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.empty(0, np.uint64), *(shingles(text.as_py()) for text in batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that a sample of the texts of ``rows`` (doc, hash, text) has most often."""
+    share = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("doc", "hash"), F.lit(share)) == 0).select("text").mapInArrow(_shingles, "h long")
+    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    hashes, counts = found.column("h").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, the frequent ones last; another set of similarity 0.8 has one of them in its own."""
+    size = len(own) + (-TENTHS * len(own) // 10) + 1
+    if not len(hashes):
+        return own[:size]
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")][:size]
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets under different roots that share a shingle, if sizes and what follows it allow 0.8; rows are sorted by shingle."""
+    for h, pos, node, size, root in _whole_runs(batches, 1):
+        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        ends = np.r_[begins[1:], len(h)]
+        out_a, out_b = [], []
+        for k in np.flatnonzero(np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)).tolist():
+            z, left, own, top = (c[begins[k] : ends[k]] for c in (size, size - pos, node, root))
+            for at in range(0, len(z), SIDE):
+                side = slice(at, at + SIDE)
+                fits = (top[side, None] != top[at:]) & (10 * np.minimum(z[side, None], z[at:]) >= TENTHS * np.maximum(z[side, None], z[at:]))
+                # no shared shingle comes before the first one of both
+                fits &= (10 + TENTHS) * np.minimum(left[side, None], left[at:]) >= TENTHS * (z[side, None] + z[at:])
+                i, j = np.nonzero(fits)
+                out_a.append(np.maximum(own[side][i], own[at:][j]))
+                out_b.append(np.minimum(own[side][i], own[at:][j]))
+        if out_a:
+            pairs = np.unique(np.column_stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def crossing_candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), the larger node first: all pairs of sets that may be similar and have no common root in ``roots`` (node, root).
+
+    ``rows`` has (doc, hash, text).  A node without a root is its own.
+    """
+    order = rows.sparkSession.sparkContext.broadcast(frequent(rows))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a set within one partition are one
+        for batch in batches:
+            nodes, sizes, parts = [], [], [np.empty(0, np.uint64)]
+            for text in batch.column(0):
+                own = shingles(text.as_py())
+                node = node_of(own)
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    parts.append(prefix(own, *order.value))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts[1:])]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["node", "size", "shingles"])
+
+    sets = rows.select("text").mapInArrow(prefixes, "node long, size long, shingles array<long>")
+    sets = sets.join(roots.hint("merge"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("shingles").alias("pos", "h"))
+    held = sets.select("h", F.col("pos").cast("long").alias("pos"), "node", "size", "root").repartition("h").sortWithinPartitions("h")
+    return held.mapInArrow(_crossing, "a long, b long").distinct()
+
+
 def near_prints(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, size) whose fingerprints in ``own`` (node, fp) are not FAR apart; small sets all pass."""
     fps = lambda c: own.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")).hint("merge")

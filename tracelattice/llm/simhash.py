@@ -214,7 +214,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of
     0.8 or more, computed exactly; a group is what links reach.  Candidates are the
     links of SimHash fingerprints over the same shingles and, as these miss texts of
-    0.8 that differ in more bits, the shared prefixes of ``jaccard``.  Of texts with
+    0.8 that differ in more bits, the shared prefixes of ``jaccard``; in the end all pairs
+    that share a prefix shingle are compared unless their group is one already.  Of texts with
     the smallest doc_id the one with the smallest hash stays.  Null and empty texts
     are copies of each other.  Rows without a doc_id stay; rows with equal doc_id and
     text count as one document.
@@ -231,6 +232,13 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     found = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), pairs))
     release(docs.sparkSession)
     roots = checkpoint(connected_components(found, "a", "b"))
+    # all pairs that may be similar and that these links leave apart
+    rest = checkpoint(jaccard.crossing_candidates(rows, roots).join(pairs, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
+    if not rest.isEmpty():
+        more = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), rest))
+        roots = checkpoint(connected_components(found.unionByName(more), "a", "b"))
+        release(docs.sparkSession)
     members = own.join(roots.hint("merge"), "node", "left").select("doc", "hash", F.coalesce("root", "node").alias("root"))
     keep = checkpoint(members.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("k")).select(F.col("k.doc").alias("kept"), F.col("k.hash").alias("kept_hash")))
     rows = packed(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text))
