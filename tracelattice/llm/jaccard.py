@@ -111,24 +111,27 @@ def prefix(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets under different roots that share a shingle, if sizes and what follows it allow 0.8; rows are sorted by shingle."""
-    for h, pos, node, size, root in _whole_runs(batches, 1):
+    """(a, b, n, least): pairs of sets under different roots, how many prefix shingles they share here and must share for 0.8; rows are sorted by shingle.
+
+    A shingle of both that is missing in one prefix follows all of that prefix, so that
+    no more than the longer rest can be common besides those counted.
+    """
+    for h, node, size, root in _whole_runs(batches, 1):
         begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         ends = np.r_[begins[1:], len(h)]
-        out_a, out_b = [], []
+        found = []
         for k in np.flatnonzero(np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)).tolist():
-            z, left, own, top = (c[begins[k] : ends[k]] for c in (size, size - pos, node, root))
+            z, own, top = (c[begins[k] : ends[k]] for c in (size, node, root))
             for at in range(0, len(z), SIDE):
                 side = slice(at, at + SIDE)
                 fits = (top[side, None] != top[at:]) & (10 * np.minimum(z[side, None], z[at:]) >= TENTHS * np.maximum(z[side, None], z[at:]))
-                # no shared shingle comes before the first one of both
-                fits &= (10 + TENTHS) * np.minimum(left[side, None], left[at:]) >= TENTHS * (z[side, None] + z[at:])
-                i, j = np.nonzero(fits)
-                out_a.append(np.maximum(own[side][i], own[at:][j]))
-                out_b.append(np.minimum(own[side][i], own[at:][j]))
-        if out_a:
-            pairs = np.unique(np.column_stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                i, j = np.nonzero(np.triu(fits, 1))
+                x, y, zx, zy = own[side][i], own[at:][j], z[side][i], z[at:][j]
+                least = -(-TENTHS * (zx + zy) // (10 + TENTHS)) + (-TENTHS * np.maximum(zx, zy) // 10) + 1
+                found.append(np.column_stack([np.maximum(x, y), np.minimum(x, y), least]))
+        if found:
+            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pairs[:, 0], pairs[:, 1], n, pairs[:, 2])], ["a", "b", "n", "least"])
 
 
 def crossing_candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -154,9 +157,10 @@ def crossing_candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["node", "size", "shingles"])
 
     sets = rows.select("text").mapInArrow(prefixes, "node long, size long, shingles array<long>")
-    sets = sets.join(roots.hint("merge"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode("shingles").alias("pos", "h"))
-    held = sets.select("h", F.col("pos").cast("long").alias("pos"), "node", "size", "root").repartition("h").sortWithinPartitions("h")
-    return held.mapInArrow(_crossing, "a long, b long").distinct()
+    sets = sets.join(roots.hint("merge"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.explode("shingles").alias("h"))
+    held = sets.select("h", "node", "size", "root").repartition("h").sortWithinPartitions("h")
+    shared = held.mapInArrow(_crossing, "a long, b long, n long, least long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    return shared.where("n >= least").select("a", "b")
 
 
 def near_prints(pairs: DataFrame, own: DataFrame) -> DataFrame:
