@@ -11,6 +11,11 @@ version to version.  The links of two documents are chained: a Fenwick tree find
 best chain that ends before each link, gaps cost by their length in both documents.
 Chains are aligned word by word, extended at their ends, and reported as passages
 where enough words agree.
+
+A seed of up to ``PAIRED`` documents has all its pairs among these links.  Of a seed
+of more, every pair of occurrences that the passages found so far have not brought
+together is held against each other by the words around, and those that may lie in
+one passage are chained and aligned as well.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +41,11 @@ GAP_COST, CHAIN_WORDS = 0.05, 16
 #: Words on each side of a seed of which it carries four bits; how many of both sides must agree
 #: (one does by chance) before a chain of less than CHAIN_WORDS, such as a single link, is aligned.
 SIDE, NEAR = 8, 7
+#: How many of the 2 * SIDE words on each side of two occurrences of a seed must agree, in their places or one beside, before
+#: occurrences other than the first and the nearest are linked, besides NEAR.  Of edited passages 0.94 to 1 have such a seed.
+WIDE_NEAR = 20
+#: Documents of a seed whose pairs are all linked at first; pairs of a seed's other occurrences compared at a time.
+PAIRED, COMPARED = 3, 1 << 20
 #: Words between two pieces of one passage that have different sources.
 JOIN = 2
 #: Words at the ends of an edited passage that may be edited themselves, so that they aren't found.
@@ -81,21 +92,30 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, at
 
 
-def _sides(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four bits of each of the SIDE words before and behind the seeds, in one integer."""
-    four = np.r_[np.zeros(SIDE, np.uint64), (hashes >> np.uint64(20)) & np.uint64(15), np.zeros(SIDE, np.uint64)]
+def _sides(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four bits of each of the SIDE words before and behind the seeds, in one integer, and of the SIDE beyond; 0 where there is no word."""
+    pad = np.zeros(2 * SIDE, np.uint64)
+    four = np.r_[pad, (hashes >> np.uint64(20)) % np.uint64(15) + np.uint64(1), pad]
     n = len(four) - SIDE + 1
     run = np.zeros(n, np.uint64)
     for k in range(SIDE):
         run |= four[k : k + n] << np.uint64(4 * k)
-    return (run[at] | run[at + SIDE + SEED] << np.uint64(4 * SIDE)).view(np.int64)
+    pair = lambda lo, hi: (run[at + lo] | run[at + hi] << np.uint64(4 * SIDE)).view(np.int64)
+    return pair(SIDE, 2 * SIDE + SEED), pair(0, 3 * SIDE + SEED)
+
+
+_ONES = np.uint64(0x1111111111111111)
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    """The lowest bit of each four is set if one of them is."""
+    x = x | x >> np.uint64(2)
+    return (x | x >> np.uint64(1)) & _ONES
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many words of two values of ``_sides`` agree."""
-    x = (a ^ b).view(np.uint64)
-    x |= x >> np.uint64(2)
-    return (2 * SIDE - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1111111111111111))).astype(np.int32)
+    return (2 * SIDE - np.bitwise_count(_marks((a ^ b).view(np.uint64)))).astype(np.int32)
 
 
 def _earlier(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +135,7 @@ def _earlier(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found_h, found_d, found_p, found_f, found_s = [], [], [], [], []
+        found_h, found_d, found_p, found_f, found_s, found_w = [], [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             hashes = word_hashes(text.as_py())
             h, at = seeds(hashes)
@@ -126,14 +146,19 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found_d.append(np.full(len(h), doc, np.int64))
             found_p.append(at.astype(np.int32))
             found_f.append(before.astype(np.int32))
-            found_s.append(_sides(hashes, at))
+            sides, wide = _sides(hashes, at)
+            found_s.append(sides)
+            found_w.append(wide)
         if found_h:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found_h, found_d, found_p, found_f, found_s)], ["h", "doc", "pos", "before", "sides"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found_h, found_d, found_p, found_f, found_s, found_w)], ["h", "doc", "pos", "before", "sides", "wide"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of seeds sorted by hash and document; of the last hash only two rows are carried on."""
-    held: list[np.ndarray] | None = None  # the first and the last row of a hash that may go on
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The links of seeds sorted by hash and document, and the rows (doc, h, pos, sides and what follows) of hashes of more than PAIRED rows.
+
+    Of the last hash only its first rows and its last one are carried on.
+    """
+    held: list[np.ndarray] | None = None  # the first rows and the last row of a hash that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -142,7 +167,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             known = len(held[0])
             columns = [np.concatenate(c) for c in zip(held, columns)]
-        h, doc, pos, before, sides = columns
+        h, doc, pos, before, sides, *others = columns
         rows = np.arange(len(h))
         first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], rows, 0))
         own = rows[known:]
@@ -151,11 +176,32 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = own[before[own] >= 0]
         left, right = np.r_[old, near], np.r_[first[old], near - 1]
         agree = np.r_[_agreeing(sides[left], sides[right]), np.zeros(len(again), np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.r_[doc[left], doc[again]], np.r_[doc[right], doc[again]], np.r_[pos[left], pos[again]], np.r_[pos[right], before[again]], agree)], ["doc", "ref", "pos", "at", "agree"])
-        ends = np.unique([first[-1], rows[-1]])
+        place = own - first[own]
+        begun = first[own[place == PAIRED]]
+        many = np.r_[(begun[:, None] + np.arange(PAIRED)).ravel(), own[place >= PAIRED]]
+        yield [np.r_[doc[left], doc[again]], np.r_[doc[right], doc[again]], np.r_[pos[left], pos[again]], np.r_[pos[right], before[again]], agree], [c[many] for c in (doc, h, pos, sides, *others)]
+        ends = np.unique([*range(first[-1], min(first[-1] + PAIRED, rows[-1])), rows[-1]])
         held = [c[ends] for c in columns]
 
 
+_LINKS = ["doc", "ref", "pos", "at", "agree"]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each row to the first and to the nearest earlier document of its hash."""
+    for links, _ in _links(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in links], _LINKS)
+
+
+def _linked_and_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, with the rows of hashes of more than PAIRED rows: the hash as ``ref``, ``agree`` -1."""
+    for links, (doc, h, pos, sides, wide) in _links(batches):
+        none = pa.nulls(len(links[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in links), none, none], [*_LINKS, "sides", "wide"])
+        if len(doc):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, h, pos, np.zeros_like(pos), np.full(len(doc), -1, np.int32), sides, wide)], [*_LINKS, "sides", "wide"])
+
+
 def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST) -> list[np.ndarray]:
     """Chains of links (x in the first, y in the second text), best first; both rise along a chain.
 
@@ -239,11 +285,29 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[n
 
 
 _CHAINS = ["doc", "ref", "y0", "y1", "x0", "x1", "ys", "xs"]
+_CHAIN_TYPES = "doc long, ref long, y0 int, y1 int, x0 int, x1 int, ys array<int>, xs array<int>, hs array<long>, ss array<long>, ws array<long>"
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chains of links sorted by doc, ref and pos; pairs with a single link among other words are left out."""
-    for doc, ref, y, x, agree in _whole_runs(batches, 2):
+    """The chains of links sorted by doc, ref and pos; pairs with a single link among other words are left out.
+
+    Rows of ``_linked_and_many`` that aren't links become rows of a document's places (``ys``), hashes and sides.
+    """
+    aside: list[pa.RecordBatch] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if "sides" in batch.schema.names:
+                many = pc.less(batch.column("agree"), 0)
+                rows = batch.filter(many)
+                if rows.num_rows:
+                    aside.append(_many_rows(rows))
+                batch = batch.filter(pc.invert(many)).select(_LINKS)
+            yield batch
+
+    for doc, ref, y, x, agree in _whole_runs(links(), 2):
+        while aside:
+            yield aside.pop()
         begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])])
         ends = np.r_[begins[1:], len(doc)]
         # pairs whose links follow each other closely on one diagonal are one chain
@@ -265,12 +329,109 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = []
         if kept:
             yield _chain_rows(kept)
+    yield from aside
+
+
+def _many_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
+    doc = rows.column("doc").to_numpy()
+    begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    cuts, n = pa.array(np.r_[begins, len(doc)], pa.int32()), len(begins)
+    ys, hs, ss, ws = (pa.ListArray.from_arrays(cuts, rows.column(c)) for c in ("pos", "ref", "sides", "wide"))
+    return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(4)), ys, pa.nulls(n, ys.type), hs, ss, ws], [*_CHAINS, "hs", "ss", "ws"])
 
 
 def _chain_rows(kept: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*kept))
     lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32())) for c in columns[6:]]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.int32()) for c in columns[2:6]), *lists], _CHAINS)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.int32()) for c in columns[2:6]), *lists, *(pa.nulls(len(kept), pa.list_(pa.int64())) for _ in range(3))], [*_CHAINS, "hs", "ss", "ws"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc, pos, sides, wide, ref, x0, x1): each seed of rows (doc, ys, hs, ss, ws, spans) with the stretches that its passages take it from in the first and the last of their sources, or an empty one."""
+    for batch in batches:
+        found = []
+        for doc, ys, hs, ss, ws, spans in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, 5)), batch.column(5).to_pylist()):
+            y, h, s, w = (c.values.to_numpy() for c in (ys, hs, ss, ws))
+            spans = sorted(spans or (), key=lambda x: x["ref_doc_id"])
+            low, high = np.full(len(y), -1), np.full(len(y), -1)
+            for k, x in enumerate(spans):
+                at = np.flatnonzero((y >= x["start_word"]) & (y + SEED <= x["end_word"]))
+                low[at] = np.where(low[at] < 0, k, low[at])
+                high[at] = k
+            of = np.array([(x["ref_doc_id"], x["ref_start"], x["ref_end"]) for x in spans] + [(0, 0, 0)], np.int64)
+            for at, k in ((slice(None), low), (high > low, high)):
+                ref, x0, x1 = of[k[at]].T
+                found.append((h[at], np.full(len(ref), doc, np.int64), y[at], s[at], w[at], ref, x0.astype(np.int32), x1.astype(np.int32)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["h", "doc", "pos", "sides", "wide", "ref", "x0", "x1"])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of all occurrences of a seed whose surroundings agree and that no passage has brought together; rows of ``_placed`` sorted by h, doc and pos."""
+    for h, doc, pos, sides, wide, ref, x0, x1 in _whole_runs(batches, 1):
+        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+        node = np.cumsum(new) - 1
+        cover = np.flatnonzero(x1 > x0)
+        cover_node, ref, x0, x1 = node[cover], ref[cover], x0[cover], x1[cover]
+        h, doc, pos, sides, wide = (c[new] for c in (h, doc, pos, sides.view(np.uint64), wide.view(np.uint64)))
+        # the words before and those behind, four bits each, from far to near and from near to far
+        half, low = np.uint64(4 * SIDE), np.uint64((1 << 4 * SIDE) - 1)
+        parts = [(wide & low) | sides << half, (sides >> half) | (wide >> half << half)]
+        has, has_parts = _marks(sides), [_marks(c) for c in parts]
+        starts = np.r_[True, h[1:] != h[:-1]]
+        group = np.cumsum(starts) - 1
+        docs, dense = np.unique(doc, return_inverse=True)
+        key = group * len(docs) + dense
+        at = np.minimum(np.searchsorted(docs, ref), len(docs) - 1)
+        wanted = group[cover_node] * len(docs) + at
+        to = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        ok = (docs[at] == ref) & (key[to] == wanted) & (pos[to] >= x0) & (pos[to] < x1)
+        root = _roots(len(h), cover_node[ok], to[ok])
+        begins = np.flatnonzero(starts)
+        ends = np.r_[begins[1:], len(h)]
+        held, count = [], 0
+        for k in np.flatnonzero(np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)).tolist():
+            lo, hi = int(begins[k]), int(ends[k])
+            top, text = root[lo:hi], doc[lo:hi]
+            names, sizes = np.unique(top, return_counts=True)
+            large = top == names[sizes.argmax()]
+            rest = np.flatnonzero(~large)  # pairs within the largest class are none
+            step = max(1, COMPARED // (hi - lo))
+            for m in range(0, len(rest), step):
+                some = rest[m : m + step]
+                fits = (top[some, None] != top) & (text[some, None] != text) & (large | (np.arange(hi - lo) < some[:, None]))
+                i, j = np.nonzero(fits)
+                a, b = lo + some[i], lo + j
+                agree = np.bitwise_count(has[a] & ~_marks(sides[a] ^ sides[b]))
+                ok = np.flatnonzero(agree >= NEAR)
+                a, b, agree = a[ok], b[ok], agree[ok]
+                around = np.zeros(len(a), np.int64)
+                for part, own in zip(parts, has_parts):
+                    x, y = part[a], part[b]
+                    around += np.bitwise_count(own[a] & ~(_marks(x ^ y) & _marks(x ^ (y << np.uint64(4))) & _marks(x ^ (y >> np.uint64(4)))))
+                ok = around >= WIDE_NEAR
+                late, early = np.maximum(a[ok], b[ok]), np.minimum(a[ok], b[ok])
+                held.append((doc[late], doc[early], pos[late], pos[early], agree[ok].astype(np.int32)))
+                count += len(late)
+                if count >= COMPARED:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], _LINKS)
+                    held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], _LINKS)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,17 +635,42 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     means a smaller doc_id.  One source of a seed is its first document, so a
     passage of many copies is linked to few sources and none of its later copies is
     missed; the other is its nearest earlier document, so that a passage edited from
-    version to version is held against the version before.  Where the words of one
+    version to version is held against the version before.  Then all earlier documents
+    of a seed are sources, except those that the passages found have brought together
+    with it there; a passage is in one class with its sources.  Where the words of one
     passage stand in several documents, it has a row for each piece, and together they
     have ``MIN_WORDS`` or more.  Null and empty texts have no passages; rows without a
     doc_id take no part; of rows that repeat a doc_id the smallest text counts.
     """
     rows = _unique(docs)
-    found = rows.mapInArrow(_seeded, "h long, doc long, pos int, before int, sides long").repartition("h").sortWithinPartitions("h", "doc")
-    links = found.mapInArrow(_linked, "doc long, ref long, pos int, at int, agree int").repartition("doc").sortWithinPartitions("doc", "ref", "pos")
-    chains = checkpoint(links.mapInArrow(_chained, "doc long, ref long, y0 int, y1 int, x0 int, x1 int, ys array<int>, xs array<int>"))
-    del found, links
+    found = rows.mapInArrow(_seeded, "h long, doc long, pos int, before int, sides long, wide long").repartition("h").sortWithinPartitions("h", "doc")
+    links = found.mapInArrow(_linked_and_many, "doc long, ref long, pos int, at int, agree int, sides long, wide long").repartition("doc").sortWithinPartitions("doc", "ref", "pos")
+    found = checkpoint(links.mapInArrow(_chained, _CHAIN_TYPES))
+    del links
     release(docs.sparkSession)  # the shuffles of the seeds and links
+    pieces = checkpoint(_pieces(rows, found.where("hs is null").select(_CHAINS)))
+    spans = pieces.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start_word", "end_word", "ref_doc_id", "ref_start", "ref_end")).alias("spans"))
+    many = found.where("hs is not null").select("doc", "ys", "hs", "ss", "ws")
+    many = many.join(spans.hint("merge"), many["doc"] == spans["of"], "left").select("doc", "ys", "hs", "ss", "ws", "spans")
+    placed = many.mapInArrow(_placed, "h long, doc long, pos int, sides long, wide long, ref long, x0 int, x1 int").repartition("h").sortWithinPartitions("h", "doc", "pos")
+    links = placed.mapInArrow(_apart, "doc long, ref long, pos int, at int, agree int").repartition("doc").sortWithinPartitions("doc", "ref", "pos")
+    chains = checkpoint(links.mapInArrow(_chained, _CHAIN_TYPES).select(_CHAINS))
+    del found, spans, many, placed, links
+    release(docs.sparkSession)
+    if not chains.isEmpty():
+        pieces = pieces.unionByName(_pieces(rows, chains)).distinct()
+    return _in_whole(pieces)
+
+
+_PASSAGES = "doc_id long, start_word int, end_word int, ref_doc_id long, ref_start int, ref_end int, matched int, identity double"
+
+
+def _in_whole(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("doc_id").sortWithinPartitions("doc_id", "start_word", "end_word").mapInArrow(_whole, _PASSAGES)
+
+
+def _pieces(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """The aligned pieces of ``chains`` between texts of ``rows``."""
     # the words of both sides, in tiles; a group is what begins in one stretch of a text, so it is bounded
     tiles_of = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - MARGIN, F.lit(0)) / TILE).cast("int"), F.floor((F.col(hi) + MARGIN - 1) / TILE).cast("int"))
     grouping = ["doc", F.floor(F.col("y0") / GROUP_WORDS).cast("long").alias("part")]
@@ -497,9 +683,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     filled = needs.join(tiles.hint("merge"), ["of", "tile"]).select("doc", "part", "side", "of", "tile", "words", none.alias("ys"), none.alias("xs"))
     filled = filled.unionByName(chains.select(*grouping, F.lit(2).alias("side"), F.col("ref").alias("of"), F.col("y0").alias("tile"), F.lit(None).cast("binary").alias("words"), "ys", "xs"))
     filled = filled.repartition("doc", "part").sortWithinPartitions("doc", "part", "side", "of", "tile")
-    schema = "doc_id long, start_word int, end_word int, ref_doc_id long, ref_start int, ref_end int, matched int, identity double"
-    pieces = filled.mapInArrow(_aligned, schema)
-    return pieces.repartition("doc_id").sortWithinPartitions("doc_id", "start_word", "end_word").mapInArrow(_whole, schema)
+    return filled.mapInArrow(_aligned, _PASSAGES)
 
 
 _SPACE = np.zeros(256, bool)
