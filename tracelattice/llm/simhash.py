@@ -232,6 +232,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     found = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), pairs))
     release(docs.sparkSession)
     roots = checkpoint(connected_components(found, "a", "b"))
+    release(docs.sparkSession)  # the rounds fill the driver's heap with plans
     # all pairs that may be similar and that these links leave apart
     rest = checkpoint(jaccard.crossing_candidates(rows, roots).join(pairs, ["a", "b"], "left_anti"))
     release(docs.sparkSession)
