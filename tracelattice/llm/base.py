@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint, checkpoint_dir, filesystem, release, remove_folder, shared_folder  # noqa: F401
+from ..plans.lineage import checkpoint, checkpoint_dir, filesystem, release, remove_folder, reread, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

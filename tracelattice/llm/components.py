@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint
+from .base import checkpoint, reread
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     adaptive execution can split at a hub.
     """
     a, b = F.col(left), F.col(right)
-    now = checkpoint(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    now = reread(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     state = _state(now)
     while state[0]:
         # large star: larger neighbours of u hang on u's smallest neighbour (or u)

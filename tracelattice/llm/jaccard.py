@@ -5,8 +5,10 @@ for a grid of cells.  Further candidates come from prefixes: with shingles in an
 order, two sets of that similarity share one of their first
 ``size - ceil(0.8 size) + 1``.  At first each of these, in the order of their hashes,
 links a text to its first and to its nearest earlier holder, which gathers large
-groups.  Then all pairs that share one and that no link has brought together are
-candidates, with the shingles that a sample finds frequent last; so none is missed.
+groups.  Then all sets that share one, with the shingles that a sample finds frequent
+last, and that no link has brought together are held against each other: by sketches
+of their parities, which rule out only what can't be similar, and what these leave
+exactly, in blocks of a cluster.  So none is missed, and only joining links are passed on.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpoint
-from .substring import _linked, _whole_runs, word_hashes
+from .base import checkpoint, grouped
+from .components import connected_components
+from .substring import _linked, _roots, _whole_runs, word_hashes
 
 #: Words of a shingle; least share of common shingles, in tenths.
 SHINGLE, TENTHS = 5, 8
 #: Bits in which the fingerprints of two sets of LARGE shingles or more may differ.  At a similarity
 #: of 0.8 they differ in 9.7 of 64 on average, with a deviation of 2.9; unrelated ones in 32.
 FAR, LARGE = 24, 50
-#: Texts of the sample that tells frequent shingles; how often it has one at least; most of them; sets of a bucket held against the others at a time.
+#: Texts of the sample that tells frequent shingles; how often it has one at least; most of them.
 #: They set the order of the shingles only: the candidates are complete under any order.
-SAMPLE, OFTEN, FREQUENT, SIDE = 8192, 3, 100_000, 512
+SAMPLE, OFTEN, FREQUENT = 8192, 3, 100_000
+#: Bits of the smallest sketch; pairs of sketches compared at a time; shingles of one side of a block of sets.
+SKETCH, PAIRS, BLOCK_SHINGLES = 256, 1 << 18, 1 << 18
 #: Sets that are held against one in the same task, on average.
 BLOCK = 1024
 
@@ -110,34 +115,137 @@ def prefix(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")][:size]
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n, least): pairs of sets under different roots, how many prefix shingles they share here and must share for 0.8; rows are sorted by shingle.
+def sketch(own: np.ndarray) -> bytes:
+    """How often the shingles of a set fall in each of ``SKETCH`` << k places, odd or even; a bit for each.
 
-    A shingle of both that is missing in one prefix follows all of that prefix, so that
-    no more than the longer rest can be common besides those counted.
+    Two sets differ in as many shingles at least as their sketches do in bits.
     """
+    places = SKETCH << _level(len(own))
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def _level(size):
+    """k of the least ``SKETCH`` << k that isn't below ``size``."""
+    return np.ceil(np.log2(np.maximum(size, SKETCH) / SKETCH)).astype(np.int64)
+
+
+def _window(group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by group and size: the first and the end of those in its group whose sizes allow 0.8 with each."""
+    key = group << 40 | size
+    return np.searchsorted(key, group << 40 | -(-TENTHS * size // 10)), np.searchsorted(key, group << 40 | 10 * size // TENTHS, side="right")
+
+
+def _by_size(h: np.ndarray, node: np.ndarray, size: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """(group, node, size, others): each node of a shingle once, by shingle and size."""
+    order = np.lexsort((node, size, h))
+    h, node = h[order], node[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+    order = order[new]
+    return [np.cumsum(np.r_[True, h[new][1:] != h[new][:-1]]), node[new], size[order], *(c[order] for c in others)]
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node): of rows (h, node, size, root) sorted by h those that hold their shingle together with a set of another root whose size allows 0.8."""
     for h, node, size, root in _whole_runs(batches, 1):
-        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        ends = np.r_[begins[1:], len(h)]
-        found = []
-        for k in np.flatnonzero(np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)).tolist():
-            z, own, top = (c[begins[k] : ends[k]] for c in (size, node, root))
-            for at in range(0, len(z), SIDE):
-                side = slice(at, at + SIDE)
-                fits = (top[side, None] != top[at:]) & (10 * np.minimum(z[side, None], z[at:]) >= TENTHS * np.maximum(z[side, None], z[at:]))
-                i, j = np.nonzero(np.triu(fits, 1))
-                x, y, zx, zy = own[side][i], own[at:][j], z[side][i], z[at:][j]
-                least = -(-TENTHS * (zx + zy) // (10 + TENTHS)) + (-TENTHS * np.maximum(zx, zy) // 10) + 1
-                found.append(np.column_stack([np.maximum(x, y), np.minimum(x, y), least]))
+        group, node, size, root, h = _by_size(h, node, size, root, h)
+        lo, hi = _window(group, size)
+        changes = np.cumsum(np.r_[False, root[1:] != root[:-1]])
+        some = changes[hi - 1] > changes[lo]
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(node[some])], ["h", "node"])
+
+
+def _reached(root: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``root`` (a place of the smallest label for each) after the links (a, b)."""
+    return _roots(len(root), np.concatenate([np.arange(len(root)), *a]), np.concatenate([root, *b]))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest, shingle by shingle, of the sets under different roots that may be similar by their sketches; rows (h, node, size, root, sketch) sorted by h."""
+    for h, node, size, root, bits in _whole_runs(batches, 1):
+        group, node, size, root, bits = _by_size(h, node, size, root, bits)
+        end, level, forest = _window(group, size)[1], _level(size), np.arange(len(node))
+        for k in np.unique(level).tolist():
+            # a larger set's sketch may be twice as long: it is folded
+            rows = np.flatnonzero((level == k) | (level == k + 1))
+            words = (SKETCH << k) // 64
+            place, marks = np.cumsum((level == k) | (level == k + 1)) - 1, np.empty((len(rows), words), np.uint64)
+            for longer in (0, 1):
+                these = np.flatnonzero(level[rows] == k + longer)
+                folded = np.frombuffer(b"".join(bits[rows[these]]), np.uint64).reshape(len(these), 1 + longer, words)
+                marks[these] = np.bitwise_xor.reduce(folded, axis=1)
+            i, step, a, b, held = np.flatnonzero(level == k), 0, [], [], 0
+            while len(i):  # each with the one that lies ``step`` rows behind
+                step += 1
+                i = i[i + step < end[i]]
+                x = i[(root[i] != root[i + step]) & (forest[i] != forest[i + step])]
+                for at in range(0, len(x), PAIRS):
+                    y = x[at : at + PAIRS]
+                    z = y + step
+                    differ = np.bitwise_count(marks[place[y]] ^ marks[place[z]]).sum(1, dtype=np.int64)
+                    near = (10 + TENTHS) * differ <= (10 - TENTHS) * (size[y] + size[z])
+                    a.append(y[near])
+                    b.append(z[near])
+                    held += len(a[-1])
+                if held > len(node):
+                    forest, a, b, held = _reached(forest, a, b), [], [], 0
+            if held:
+                forest = _reached(forest, a, b)
+        rest = np.flatnonzero(forest != np.arange(len(node)))
+        if len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.array(node[forest[rest]])], ["a", "b"])
+
+
+def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(t.as_py()).tobytes() for t in batch.column(4)], pa.binary())], ["cluster", "slots", "node", "root", "set"])
+
+
+def _joining(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Links of sets of similarity 0.8 that join all that such links reach; sets with one ``root`` are joined, and those of one ``side`` are not compared."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes, begins = sizes[order], np.cumsum(np.r_[0, sizes[order]])
+    names, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    side = None if side is None else side[order]
+    top, has, end = np.unique(root[order], return_inverse=True)[1], np.zeros(len(names), np.int32), _window(np.zeros_like(sizes), sizes)[1]
+    for x in range(len(sizes)):
+        y = x + 1 + np.flatnonzero(top[x + 1 : end[x]] != top[x])
+        if side is not None:
+            y = y[side[y] != side[x]]
+        if not len(y):
+            continue
+        own, at = ids[begins[x] : begins[x + 1]], np.cumsum(np.r_[0, sizes[y][:-1]])
+        has[own] = 1
+        both = np.add.reduceat(has[ids[np.repeat(begins[y] - at, sizes[y]) + np.arange(sizes[y].sum())]], at)
+        has[own] = 0
+        y = y[10 * both >= TENTHS * (sizes[x] + sizes[y] - both)]
+        if len(y):
+            tops, firsts = np.unique(top[y], return_index=True)
+            yield from ((int(order[x]), int(order[k])) for k in y[firsts])
+            top[np.isin(top, tops)] = top[x]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): similar sets of each block, as many as join their classes; rows (cluster, i, j, slot, node, root, set) sorted by block."""
+    for block in grouped(batches, 3):
+        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        node, root, slot = (block.column(c).to_numpy() for c in ("node", "root", "slot"))
+        once = np.unique(node, return_index=True)[1]  # rows that repeat a doc_id and its text
+        sets = block.column("set").to_pylist()
+        found = list(_joining([np.frombuffer(sets[k], np.uint64) for k in once], root[once], None if i == j else slot[once]))
         if found:
-            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pairs[:, 0], pairs[:, 1], n, pairs[:, 2])], ["a", "b", "n", "least"])
+            a, b = node[once][np.array(found)].T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def crossing_candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), the larger node first: all pairs of sets that may be similar and have no common root in ``roots`` (node, root).
+def crossing_links(rows: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links between sets of similarity 0.8 that have no common root in ``roots`` (node, root), as many as join what all such links reach.
 
-    ``rows`` has (doc, hash, text).  A node without a root is its own.
+    ``rows`` has (doc, hash, text), ``own`` (node, doc, hash, size, sketch).  A node without
+    a root is its own.  Sets that share a prefix shingle and whose sketches allow 0.8 are
+    gathered in clusters, and inside each all sets under different roots are compared
+    exactly, in blocks.  No table has a row for each pair.
     """
     order = rows.sparkSession.sparkContext.broadcast(frequent(rows))
 
@@ -159,8 +267,17 @@ def crossing_candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
     sets = rows.select("text").mapInArrow(prefixes, "node long, size long, shingles array<long>")
     sets = sets.join(roots.hint("merge"), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.explode("shingles").alias("h"))
     held = sets.select("h", "node", "size", "root").repartition("h").sortWithinPartitions("h")
-    shared = held.mapInArrow(_crossing, "a long, b long, n long, least long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
-    return shared.where("n >= least").select("a", "b")
+    live = checkpoint(held.mapInArrow(_live, "h long, node long"))
+    of = own.join(roots.hint("merge"), "node", "left").select("node", "doc", "hash", "size", F.coalesce("root", "node").alias("root"), "sketch")
+    held = live.join(of.hint("merge"), "node").select("h", "node", "size", "root", "sketch").repartition("h").sortWithinPartitions("h")
+    clusters = checkpoint(connected_components(checkpoint(held.mapInArrow(_gathered, "a long, b long")), "a", "b").withColumnRenamed("root", "cluster"))
+    slots = checkpoint(clusters.join(of.select("node", "size").hint("merge"), "node").groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("slots")))
+    members = clusters.join(slots, "cluster").join(of.select("node", "doc", "hash", "root").hint("merge"), "node")
+    texts = members.join(rows.hint("merge"), ["doc", "hash"]).select("cluster", "slots", "node", "root", "text")
+    texts = texts.mapInArrow(_named_sets, "cluster long, slots long, node long, root long, set binary").withColumn("slot", F.pmod(F.xxhash64("node"), "slots"))
+    blocks = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    blocks = blocks.select("cluster", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "root", "set")
+    return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compared, "a long, b long")
 
 
 def near_prints(pairs: DataFrame, own: DataFrame) -> DataFrame:

@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.as_py() for t in batch.column(2)]
-        nodes = pa.array([jaccard.node_of(jaccard.shingles(t)) for t in texts], pa.int64())
+        sets = [jaccard.shingles(t) for t in texts]
+        nodes, sizes = pa.array(map(jaccard.node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64())
         prints = np.array([fingerprint(t, jaccard.SHINGLE) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(prints)], ["doc", "hash", "node", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(prints), sizes, pa.array(map(jaccard.sketch, sets), pa.binary())], ["doc", "hash", "node", "fp", "size", "sketch"])
 
 
 def fingerprint_candidates(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -214,7 +215,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of
     0.8 or more, computed exactly; a group is what links reach.  Candidates are the
     links of SimHash fingerprints over the same shingles and, as these miss texts of
-    0.8 that differ in more bits, the shared prefixes of ``jaccard``; in the end all pairs
+    0.8 that differ in more bits, the shared prefixes of ``jaccard``; in the end all texts
     that share a prefix shingle are compared unless their group is one already.  Of texts with
     the smallest doc_id the one with the smallest hash stays.  Null and empty texts
     are copies of each other.  Rows without a doc_id stay; rows with equal doc_id and
@@ -222,8 +223,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """
     text = F.col("text").cast("string")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    named = rows.mapInArrow(_named, "doc long, hash long, node long, fp long")
-    own = checkpoint(named.groupBy("node").agg(F.min(F.struct("doc", "hash", "fp")).alias("x")).select("node", "x.doc", "x.hash", "x.fp"))
+    named = rows.mapInArrow(_named, "doc long, hash long, node long, fp long, size long, sketch binary")
+    own = checkpoint(named.groupBy("node").agg(F.min(F.struct("doc", "hash", "fp", "size", "sketch")).alias("x")).select("node", "x.doc", "x.hash", "x.fp", "x.size", "x.sketch"))
     low, high = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
     shared = jaccard.near_prints(jaccard.prefix_candidates(rows).select(high, low, "size"), own)
     pairs = checkpoint(shared.unionByName(fingerprint_candidates(own.select("node", "fp"), distance).select(high, low)).distinct())
@@ -233,11 +234,10 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     release(docs.sparkSession)
     roots = checkpoint(connected_components(found, "a", "b"))
     release(docs.sparkSession)  # the rounds fill the driver's heap with plans
-    # all pairs that may be similar and that these links leave apart
-    rest = checkpoint(jaccard.crossing_candidates(rows, roots).join(pairs, ["a", "b"], "left_anti"))
+    # all sets that may be similar and that these links leave apart
+    more = checkpoint(jaccard.crossing_links(rows, own.drop("fp"), roots))
     release(docs.sparkSession)
-    if not rest.isEmpty():
-        more = checkpoint(jaccard.similar(rows, own.select("node", "doc", "hash"), rest))
+    if not more.isEmpty():
         roots = checkpoint(connected_components(found.unionByName(more), "a", "b"))
         release(docs.sparkSession)
     members = own.join(roots.hint("merge"), "node", "left").select("doc", "hash", F.coalesce("root", "node").alias("root"))
