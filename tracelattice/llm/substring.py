@@ -16,6 +16,10 @@ A seed of up to ``PAIRED`` documents has all its pairs among these links.  Of a
 of more, every pair of occurrences that the passages found so far have not brought
 together is held against each other by the words around, and those that may lie in
 one passage are chained and aligned as well.
+
+Seeds and links are dealt out in bundles, one for each bucket of keys that a task has
+rows of: columns of few bytes, sorted where they arrive.  Chains without a break are
+aligned many at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import checkpoint, grouped, packed, release, table, unpacked
+from .base import checkpoint, grouped, packed, partitions_for, release, table, unpacked
 
 #: Words of a seed; about one run of so many words in SEED is one.
 SEED = 4
@@ -45,7 +49,7 @@ SIDE, NEAR = 8, 7
 #: occurrences other than the first and the nearest are linked, besides NEAR.  Of edited passages 0.94 to 1 have such a seed.
 WIDE_NEAR = 20
 #: Documents of a seed whose pairs are all linked at first; pairs of a seed's other occurrences compared at a time.
-PAIRED, COMPARED = 3, 1 << 20
+PAIRED, COMPARED = 3, 1 << 16
 #: Words between two pieces of one passage that have different sources.
 JOIN = 2
 #: Words at the ends of an edited passage that may be edited themselves, so that they aren't found.
@@ -63,15 +67,29 @@ SHIFTS = [(1, 0), (0, 1), (2, 0), (0, 2), (2, 1), (1, 2), (3, 2), (2, 3), (3, 1)
 LOOK, LOOK_NEED = 6, 4
 #: Words of a gap that find no partner, above which a chain is two passages.
 BREAK = 12
+#: Rows that are packed at a time into bundles, which are dealt out and sorted in place of rows; distinct words whose hashes are kept.
+BUNDLED, KNOWN = 1 << 19, 1 << 17
+
+
+class _Hashes(dict):
+    """The hash of each short word met, up to KNOWN of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= 32:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_hashes = _Hashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word, ASCII letters lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known: dict[bytes, int] = dict.fromkeys(words, 0)
-    for w in known:
-        known[w] = xxhash.xxh64_intdigest(w, 7)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +112,8 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sides(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Four bits of each of the SIDE words before and behind the seeds, in one integer, and of the SIDE beyond; 0 where there is no word."""
-    pad = np.zeros(2 * SIDE, np.uint64)
-    four = np.r_[pad, (hashes >> np.uint64(20)) % np.uint64(15) + np.uint64(1), pad]
+    four = np.zeros(len(hashes) + 4 * SIDE, np.uint64)
+    four[2 * SIDE : -2 * SIDE] = (hashes >> np.uint64(20)) % np.uint64(15) + np.uint64(1)
     n = len(four) - SIDE + 1
     run = np.zeros(n, np.uint64)
     for k in range(SIDE):
@@ -125,7 +143,11 @@ def _earlier(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a text full of repeats meets the third place in another, and the links rise.
     """
     order = np.argsort(h, kind="stable")
-    begins = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    ranked = h[order]
+    new = ranked[1:] != ranked[:-1]
+    if new.all():
+        return np.full(len(h), -1), np.zeros(len(h), np.uint64)
+    begins = np.flatnonzero(np.r_[True, new])
     sizes = np.diff(np.r_[begins, len(h)])
     first, ordinal = np.empty(len(h), np.int64), np.empty(len(h), np.uint64)
     first[order] = np.repeat(at[order][begins], sizes)
@@ -133,24 +155,92 @@ def _earlier(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(first == at, -1, first), ordinal
 
 
-def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(spark) -> int:
+    """Bits of a bucket's number: there are no fewer buckets than shuffle partitions, and 256 at least."""
+    return min(16, max(8, (partitions_for(spark) - 1).bit_length()))
+
+
+def _bundled(columns: list[np.ndarray], bits: int, kind: int = 0) -> pa.RecordBatch:
+    """Bundles of rows whose first columns fall in one bucket: each column as its least value and the differences to it."""
+    bucket = ((columns[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    least = [int(c.min()) for c in columns]
+    widths = [next(w for w in (1, 2, 4, 8) if int(c.max()) - low < 1 << 8 * w) for c, low in zip(columns, least)]
+    head = np.array([least, widths], np.int64).tobytes()
+    parts = [(c[order].view(np.uint64) - np.uint64(low % (1 << 64))).astype(f"u{w}") for c, low, w in zip(columns, least, widths)]
+    data = [b"".join([head, *(c[lo:hi].tobytes() for c in parts)]) for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(order)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begins].astype(np.int32)), pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+
+def _bundles(rows: Iterator[list[np.ndarray]], bits: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
+    """Bundles of rows in columns of whole numbers, about BUNDLED rows at a time."""
+    held, count = [], 0
+    for columns in rows:
+        if len(columns[0]):
+            held.append(columns)
+            count += len(columns[0])
+        if count >= BUNDLED:
+            yield _bundled([np.concatenate(c).astype(np.int64, copy=False) for c in zip(*held)], bits, kind)
+            held, count = [], 0
+    if held:
+        yield _bundled([np.concatenate(c).astype(np.int64, copy=False) for c in zip(*held)], bits, kind)
+
+
+_BUNDLES = "bucket int, kind int, data binary"
+
+
+def _dealt(bundles: DataFrame) -> DataFrame:
+    """Bundles with all those of a bucket together."""
+    return bundles.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _opened(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(kind, columns) of each bucket and kind of dealt bundles, rows sorted by the columns ``keys``."""
+    held, last = [], None
+
+    def rows() -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort([columns[k] for k in reversed(keys)])
+        return [c[order] for c in columns]
+
     for batch in batches:
-        found_h, found_d, found_p, found_f, found_s, found_w = [], [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            hashes = word_hashes(text.as_py())
-            h, at = seeds(hashes)
-            if not len(h):
-                continue
-            before, ordinal = _earlier(h, at)
-            found_h.append((h ^ (ordinal * np.uint64(0xD1B54A32D192ED03))).view(np.int64))
-            found_d.append(np.full(len(h), doc, np.int64))
-            found_p.append(at.astype(np.int32))
-            found_f.append(before.astype(np.int32))
-            sides, wide = _sides(hashes, at)
-            found_s.append(sides)
-            found_w.append(wide)
-        if found_h:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found_h, found_d, found_p, found_f, found_s, found_w)], ["h", "doc", "pos", "before", "sides", "wide"])
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if held and (bucket, kind) != last:
+                yield last[1], rows()
+                held = []
+            last = (bucket, kind)
+            data = data.as_buffer()
+            n = _COLUMNS[kind]
+            least, widths = np.frombuffer(data, np.int64, 2 * n).reshape(2, n).tolist()
+            size, at, columns = (len(data) - 16 * n) // sum(widths), 16 * n, []
+            for low, w in zip(least, widths):
+                columns.append((np.frombuffer(data, f"u{w}", size, at).astype(np.uint64) + np.uint64(low % (1 << 64))).view(np.int64))
+                at += w * size
+            held.append(columns)
+    if held:
+        yield last[1], rows()
+
+
+#: Kinds of bundles and their columns: seeds (h, doc, pos, before, sides, wide), links (doc, ref, pos, at, agree), a
+#: document's seeds that many hold (doc, h, pos, sides, wide), those with stretches of their sources (h, doc, pos, sides, wide, ref, x0, x1).
+_SEEDS, _LINKED, _MANY, _PLACED = range(4)
+_COLUMNS = (6, 5, 5, 8)
+
+
+def _seeded(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = word_hashes(text.as_py())
+                h, at = seeds(hashes)
+                if not len(h):
+                    continue
+                before, ordinal = _earlier(h, at)
+                yield [(h ^ (ordinal * np.uint64(0xD1B54A32D192ED03))).view(np.int64), np.full(len(h), doc, np.int64), at, before, *_sides(hashes, at)]
+
+    return _bundles(rows(), bits, _SEEDS)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
@@ -193,13 +283,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in links], _LINKS)
 
 
-def _linked_and_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same, with the rows of hashes of more than PAIRED rows: the hash as ``ref``, ``agree`` -1."""
-    for links, (doc, h, pos, sides, wide) in _links(batches):
-        none = pa.nulls(len(links[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in links), none, none], [*_LINKS, "sides", "wide"])
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, h, pos, np.zeros_like(pos), np.full(len(doc), -1, np.int32), sides, wide)], [*_LINKS, "sides", "wide"])
+def _linked_and_many(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The same of dealt bundles of seeds, in bundles, with the rows of hashes of more than PAIRED rows."""
+    held = ([], [])
+    counts = [0, 0]
+    found = (pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "pos", "before", "sides", "wide"]) for _, columns in _opened(batches, (0, 1)))
+    for both in _links(found):
+        for k, (columns, kind) in enumerate(zip(both, (_LINKED, _MANY))):
+            held[k].append(columns)
+            counts[k] += len(columns[0])
+            if counts[k] >= BUNDLED:
+                yield from _bundles(iter(held[k]), bits, kind)
+                held[k].clear()
+                counts[k] = 0
+    for columns, kind in zip(held, (_LINKED, _MANY)):
+        yield from _bundles(iter(columns), bits, kind)
 
 
 def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST) -> list[np.ndarray]:
@@ -211,13 +309,17 @@ def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST)
     the best there is.
     """
     order = np.lexsort((x, y))
-    x, y = x[order], y[order]
+    return [order[np.array(path)] for path in _paths(x[order], y[order], size, gap)]
+
+
+def _paths(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST) -> list[list[int]]:
+    """The same for links sorted by ``y`` and ``x``, as lists."""
     n = len(x)
     values = np.unique(x)
     ranks = (np.searchsorted(values, x) + 1).tolist()
     before = np.searchsorted(values, x - size, side="right").tolist()  # links that end before this one, by x
-    tree_score = [-1e18] * (len(values) + 1)
-    tree_link = [-1] * (len(values) + 1)
+    top = len(values) + 1
+    tree_score, tree_link = [-1e18] * top, [-1] * top
     score, back = [0.0] * n, [-1] * n
     diagonal: dict[int, int] = {}
     xs, ys = x.tolist(), y.tolist()
@@ -225,7 +327,7 @@ def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST)
     for i in range(n):
         while ys[ended] + size <= ys[i]:  # links that end before this one, by y, enter the tree
             value, r = score[ended] + gap * (xs[ended] + ys[ended] + 2 * size), ranks[ended]
-            while r < len(tree_score):
+            while r < top:
                 if value > tree_score[r]:
                     tree_score[r], tree_link[r] = value, ended
                 r += r & -r
@@ -235,17 +337,19 @@ def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST)
             if tree_score[r] > best:
                 best, link = tree_score[r], tree_link[r]
             r -= r & -r
-        best -= gap * (xs[i] + ys[i])
-        j = diagonal.get(xs[i] - ys[i], -1)
-        if j >= 0 and xs[i] - xs[j] < size and score[j] + xs[i] - xs[j] >= best + size:
-            score[i], back[i] = score[j] + xs[i] - xs[j], j
+        at = xs[i]
+        best -= gap * (at + ys[i])
+        slope = at - ys[i]
+        j = diagonal.get(slope, -1)
+        if j >= 0 and at - xs[j] < size and score[j] + at - xs[j] >= best + size:
+            score[i], back[i] = score[j] + at - xs[j], j
         elif best > 0:
             score[i], back[i] = best + size, link
         else:
             score[i] = float(size)
-        diagonal[xs[i] - ys[i]] = i
+        diagonal[slope] = i
     used, chains = bytearray(n), []
-    for end in sorted(range(n), key=lambda i: (-score[i], i)):
+    for end in sorted(range(n), key=score.__getitem__, reverse=True):
         path = []
         i = end
         while i >= 0 and not used[i]:
@@ -253,7 +357,8 @@ def chain(x: np.ndarray, y: np.ndarray, size: int = SEED, gap: float = GAP_COST)
             path.append(i)
             i = back[i]
         if path:
-            chains.append(order[np.array(path[::-1])])
+            path.reverse()
+            chains.append(path)
     return chains
 
 
@@ -289,67 +394,55 @@ _CHAIN_TYPES = "doc long, ref long, y0 int, y1 int, x0 int, x1 int, ys array<int
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chains of links sorted by doc, ref and pos; pairs with a single link among other words are left out.
+    """The chains of dealt bundles of links; pairs with a single link among other words are left out.
 
-    Rows of ``_linked_and_many`` that aren't links become rows of a document's places (``ys``), hashes and sides.
+    Bundles of ``_linked_and_many`` that aren't links become rows of a document's places (``ys``), hashes and sides.
     """
-    aside: list[pa.RecordBatch] = []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if "sides" in batch.schema.names:
-                many = pc.less(batch.column("agree"), 0)
-                rows = batch.filter(many)
-                if rows.num_rows:
-                    aside.append(_many_rows(rows))
-                batch = batch.filter(pc.invert(many)).select(_LINKS)
-            yield batch
-
-    for doc, ref, y, x, agree in _whole_runs(links(), 2):
-        while aside:
-            yield aside.pop()
+    for kind, columns in _opened(batches, (0, 1, 2)):
+        if kind == _MANY:
+            yield _many_rows(*columns)
+            continue
+        doc, ref, y, x, agree = columns
         begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])])
         ends = np.r_[begins[1:], len(doc)]
+        sizes = ends - begins
         # pairs whose links follow each other closely on one diagonal are one chain
         step = np.diff(y, prepend=0)
         apart = (np.diff(x, prepend=0) != step) | (step > _NEAR_STEP) | (step < 1)
         apart[begins] = False
         straight = np.add.reduceat(apart, begins, dtype=np.int64) == 0
-        alone = (ends - begins == 1) & (agree[begins] < NEAR)
-        kept: list[tuple] = []
-        for k in np.flatnonzero(~alone).tolist():
+        alone = (sizes == 1) & (agree[begins] < NEAR)
+        whole = straight & ~alone & ((y[ends - 1] + SEED - y[begins] >= CHAIN_WORDS) | (np.maximum.reduceat(agree, begins) >= NEAR))
+        if whole.any():
+            links, b, e = np.repeat(whole, sizes), begins[whole], ends[whole] - 1
+            yield _chain_rows(doc[b], ref[b], y[b], y[e] + SEED, x[b], x[e] + SEED, sizes[whole], y[links], x[links])
+        kept: list[np.ndarray] = []
+        for k in np.flatnonzero(~straight).tolist():
             lo, hi = int(begins[k]), int(ends[k])
-            gy, gx, near = y[lo:hi], x[lo:hi], agree[lo:hi]
-            for c in [slice(None)] if straight[k] else chain(gx.astype(np.int64), gy.astype(np.int64)):
-                cx, cy = gx[c], gy[c]
-                if cy[-1] + SEED - cy[0] >= CHAIN_WORDS or near[c].max() >= NEAR:
-                    kept.append((doc[lo], ref[lo], cy[0], cy[-1] + SEED, cx[0], cx[-1] + SEED, cy, cx))
-            if len(kept) >= 2000 or kept and hi == len(doc):
-                yield _chain_rows(kept)
-                kept = []
+            order = lo + np.lexsort((x[lo:hi], y[lo:hi]))
+            gy, near = y[order].tolist(), agree[order].tolist()
+            kept += [order[c] for c in _paths(x[order], y[order]) if gy[c[-1]] + SEED - gy[c[0]] >= CHAIN_WORDS or max([near[i] for i in c]) >= NEAR]
         if kept:
-            yield _chain_rows(kept)
-    yield from aside
+            links, b, e = np.concatenate(kept), np.array([c[0] for c in kept]), np.array([c[-1] for c in kept])
+            yield _chain_rows(doc[b], ref[b], y[b], y[e] + SEED, x[b], x[e] + SEED, np.array([len(c) for c in kept]), y[links], x[links])
 
 
-def _many_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
-    doc = rows.column("doc").to_numpy()
+def _many_rows(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, sides: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
     begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     cuts, n = pa.array(np.r_[begins, len(doc)], pa.int32()), len(begins)
-    ys, hs, ss, ws = (pa.ListArray.from_arrays(cuts, rows.column(c)) for c in ("pos", "ref", "sides", "wide"))
+    ys, hs, ss, ws = (pa.ListArray.from_arrays(cuts, c) for c in (pa.array(pos, pa.int32()), pa.array(h), pa.array(sides), pa.array(wide)))
     return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.int32()) for _ in range(4)), ys, pa.nulls(n, ys.type), hs, ss, ws], [*_CHAINS, "hs", "ss", "ws"])
 
 
-def _chain_rows(kept: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*kept))
-    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32())) for c in columns[6:]]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.int32()) for c in columns[2:6]), *lists, *(pa.nulls(len(kept), pa.list_(pa.int64())) for _ in range(3))], [*_CHAINS, "hs", "ss", "ws"])
+def _chain_rows(doc: np.ndarray, ref: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0: np.ndarray, x1: np.ndarray, sizes: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> pa.RecordBatch:
+    cuts = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(c, pa.int32())) for c in (ys, xs)]
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ref), *(pa.array(c, pa.int32()) for c in (y0, y1, x0, x1)), *lists, *(pa.nulls(len(doc), pa.list_(pa.int64())) for _ in range(3))], [*_CHAINS, "hs", "ss", "ws"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """(h, doc, pos, sides, wide, ref, x0, x1): each seed of rows (doc, ys, hs, ss, ws, spans) with the stretches that its passages take it from in the first and the last of their sources, or an empty one."""
     for batch in batches:
-        found = []
         for doc, ys, hs, ss, ws, spans in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, 5)), batch.column(5).to_pylist()):
             y, h, s, w = (c.values.to_numpy() for c in (ys, hs, ss, ws))
             spans = sorted(spans or (), key=lambda x: x["ref_doc_id"])
@@ -361,9 +454,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.array([(x["ref_doc_id"], x["ref_start"], x["ref_end"]) for x in spans] + [(0, 0, 0)], np.int64)
             for at, k in ((slice(None), low), (high > low, high)):
                 ref, x0, x1 = of[k[at]].T
-                found.append((h[at], np.full(len(ref), doc, np.int64), y[at], s[at], w[at], ref, x0.astype(np.int32), x1.astype(np.int32)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["h", "doc", "pos", "sides", "wide", "ref", "x0", "x1"])
+                yield [h[at], np.full(len(ref), doc, np.int64), y[at], s[at], w[at], ref, x0, x1]
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -380,9 +471,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of all occurrences of a seed whose surroundings agree and that no passage has brought together; rows of ``_placed`` sorted by h, doc and pos."""
-    for h, doc, pos, sides, wide, ref, x0, x1 in _whole_runs(batches, 1):
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The links of all occurrences of a seed whose surroundings agree and that no passage has brought together; dealt bundles of ``_placed``."""
+    for _, (h, doc, pos, sides, wide, ref, x0, x1) in _opened(batches, (0, 1, 2)):
         new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
         node = np.cumsum(new) - 1
         cover = np.flatnonzero(x1 > x0)
@@ -410,15 +501,24 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, sizes = np.unique(top, return_counts=True)
             large = top == names[sizes.argmax()]
             rest = np.flatnonzero(~large)  # pairs within the largest class are none
+            others = np.r_[np.flatnonzero(large), rest]
+            few, around_it, ones = len(others) - len(rest), sides[lo:hi], has[lo:hi]
             step = max(1, COMPARED // (hi - lo))
             for m in range(0, len(rest), step):
                 some = rest[m : m + step]
-                fits = (top[some, None] != top) & (text[some, None] != text) & (large | (np.arange(hi - lo) < some[:, None]))
-                i, j = np.nonzero(fits)
-                a, b = lo + some[i], lo + j
-                agree = np.bitwise_count(has[a] & ~_marks(sides[a] ^ sides[b]))
-                ok = np.flatnonzero(agree >= NEAR)
-                a, b, agree = a[ok], b[ok], agree[ok]
+                with_ = others[: few + m + len(some)]
+                # words that agree of all pairs at once, as in _agreeing, those without a word left out
+                unlike = around_it[some, None] ^ around_it[with_]
+                unlike |= unlike >> np.uint64(2)
+                unlike |= unlike >> np.uint64(1)
+                np.invert(unlike, out=unlike)
+                unlike &= ones[some, None]
+                agree = np.bitwise_count(unlike)
+                i, j = np.nonzero(agree >= NEAR)
+                agree = agree[i, j]
+                a, b = some[i], with_[j]
+                ok = np.flatnonzero((top[a] != top[b]) & (text[a] != text[b]) & (large[b] | (b < a)))
+                a, b, agree = lo + a[ok], lo + b[ok], agree[ok]
                 around = np.zeros(len(a), np.int64)
                 for part, own in zip(parts, has_parts):
                     x, y = part[a], part[b]
@@ -428,10 +528,10 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((doc[late], doc[early], pos[late], pos[early], agree[ok].astype(np.int32)))
                 count += len(late)
                 if count >= COMPARED:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], _LINKS)
+                    yield [np.concatenate(c) for c in zip(*held)]
                     held, count = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], _LINKS)
+            yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,6 +560,16 @@ def _gap(a: np.ndarray, b: np.ndarray, band: int = BREAK) -> int:
         same = int((a == b).sum())
         if same >= n - 1:
             return same
+    if m <= 64 * band:
+        # Hyyro's bits: a place of b is 0 in ``free`` if the longest common subsequence grows there; without a band
+        places: dict[int, int] = {}
+        for j, w in enumerate(b.tolist()):
+            places[w] = places.get(w, 0) | 1 << j
+        free = full = (1 << m) - 1
+        for w in a.tolist():
+            used = free & places.get(w, 0)
+            free = (free + used | free - used) & full
+        return m - free.bit_count()
     # row[j]: the longest common subsequence of a[:i] and b[: i - band + j]
     width = 2 * band + 1
     padded = np.zeros(m + 2 * width, b.dtype)
@@ -547,63 +657,161 @@ def align(left: np.ndarray, right: np.ndarray, ys: np.ndarray, xs: np.ndarray) -
     return [*found, (y0, y + more_y, x0, x + more_x, same + gained, total + more)]
 
 
-class _Words:
-    """Stretches of a text's words by their places, from its tiles."""
-
-    def __init__(self, numbers: list[int], data: list[bytes]):
-        self.at = {n: k for k, n in enumerate(numbers)}
-        self.ends = np.cumsum([0, *(len(d) // 4 for d in data)])
-        self.words = np.frombuffer(b"".join(data), np.uint32)
+def _reach_many(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, way: int) -> list[np.ndarray]:
+    """``_reach`` of many extensions: from ``words[a]`` and ``words[b]`` on, ``n`` and ``m`` words at most, forwards or (``way`` -1) backwards."""
+    i, j, same, total = (np.zeros(len(a), np.int64) for _ in range(4))
+    todo = np.arange(len(a))
+    look, last = np.arange(LOOK), len(words) - 1
+
+    def equal(of: np.ndarray, di: int, dj: int, steps: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        left = words[np.clip((a[of] + way * (i[of] + di))[:, None] + way * steps, 0, last)]
+        right = words[np.clip((b[of] + way * (j[of] + dj))[:, None] + way * steps, 0, last)]
+        return (left == right) & inside
+
+    while len(todo):
+        # as in _straight; the first place behind an end falls
+        room = np.minimum(n[todo] - i[todo], m[todo] - j[todo])
+        steps = np.arange(int(room.max()) + 1)
+        inside = steps < room[:, None]
+        hit = equal(todo, 0, 0, steps, inside)
+        score = np.cumsum(np.where(inside, np.where(hit, MATCH, MISMATCH), -(DROP + 1)), axis=1)
+        fell = np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > DROP
+        score[steps >= fell.argmax(axis=1)[:, None]] = -1
+        best, rows = score.argmax(axis=1), np.arange(len(todo))
+        gains = np.where(score[rows, best] > 0, best + 1, 0)
+        i[todo] += gains
+        j[todo] += gains
+        total[todo] += gains
+        same[todo] += np.where(gains > 0, np.cumsum(hit, axis=1)[rows, best], 0)
+        on, left = [], todo
+        for da, db in SHIFTS:
+            room = np.minimum(n[left] - i[left] - da, m[left] - j[left] - db)
+            able = np.flatnonzero(room >= LOOK_NEED)
+            some = left[able]
+            goes = some[equal(some, da, db, look, look < room[able][:, None]).sum(axis=1) >= LOOK_NEED]
+            i[goes] += da
+            j[goes] += db
+            total[goes] += max(da, db)
+            on.append(goes)
+            left = left[~np.isin(left, goes)] if len(goes) else left
+        todo = np.sort(np.concatenate(on))
+    return [i, j, same, total]
+
+
+_PIECE_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of lists, and where each begins, with the end of the last."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def _aligned_groups(rows: pa.Table) -> Iterator[list[np.ndarray]]:
+    """The columns of the passages of whole groups: tiles of their own text (side 0), of its sources (1) and the chains between them (2)."""
+    side = rows.column("side").to_numpy()
+    chains = rows.filter(pa.array(side == 2))
+    if not chains.num_rows:
+        return
+    tiles = rows.filter(pa.array(side < 2))
+    number = lambda t, name: t.column(name).to_numpy()
+    doc, part, of = (number(rows, c) for c in ("doc", "part", "of"))
+    group = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])
+    names, of = np.unique(of, return_inverse=True)
+    # the texts of each group have numbers that rise with the rows, and so have their tiles
+    text = (2 * group + np.minimum(side, 1)) * len(names) + of
+    is_tile = side < 2
+    tile = number(tiles, "tile").astype(np.int64)
+    span = int(tile.max()) + 2
+    key, owner = text[is_tile] * span + tile, text[is_tile]
+    data = tiles.column("words").combine_chunks()
+    sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    offsets = np.r_[0, np.cumsum(sizes)]
+    words = np.frombuffer(b"".join(data.to_pylist()), np.uint32)
+
+    doc, ref = number(chains, "doc"), number(chains, "of")
+    ys, cuts = _lists(chains.column("ys").combine_chunks())
+    xs, _ = _lists(chains.column("xs").combine_chunks())
+    first, end = cuts[:-1], cuts[1:] - 1
+
+    def place(texts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chain: its words' first index less their place, and where its stretch begins and ends."""
+        low = np.maximum(at[first] - MARGIN, 0)
+        row = np.searchsorted(key, texts * span + low // TILE)
+        begin = offsets[row] + low % TILE
+        stop = np.minimum(begin + at[end] + SEED + MARGIN - low, offsets[np.searchsorted(owner, texts, "right")])
+        return begin - low, begin, stop, low
+
+    own = text[~is_tile]
+    base = (2 * group[~is_tile]) * len(names)
+    left, left_begin, left_stop, low_y = place(base + np.searchsorted(names, doc), ys)
+    right, right_begin, right_stop, low_x = place(own, xs)
+
+    # between two links of a chain: nothing, or a gap
+    chain_of = np.repeat(np.arange(len(doc)), np.diff(cuts))
+    step = np.flatnonzero(chain_of[1:] == chain_of[:-1])
+    dy, dx, of_step = ys[step + 1] - ys[step], xs[step + 1] - xs[step], chain_of[step]
+    overlap = (dy == dx) & (dy > 0) & (dy < SEED)
+    odd = ~overlap & ((dy < SEED) | (dx < SEED))
+    n, m = np.where(overlap, 0, dy - SEED), np.where(overlap, 0, dx - SEED)
+    a, b = left[of_step] + ys[step] + SEED, right[of_step] + xs[step] + SEED
+    equal = np.zeros(len(step), np.int64)
+    even = np.flatnonzero((n == m) & (n > 0) & ~odd)
+    if len(even):
+        runs = n[even]
+        begins = np.cumsum(runs) - runs
+        inner = np.arange(int(runs.sum())) - np.repeat(begins, runs)
+        equal[even] = np.add.reduceat(words[np.repeat(a[even], runs) + inner] == words[np.repeat(b[even], runs) + inner], begins, dtype=np.int64)
+    for k in np.flatnonzero(~odd & (n > 0) & (m > 0) & (np.abs(n - m) <= BREAK) & ((n != m) | (equal < n - 1))).tolist():
+        equal[k] = _gap(words[a[k] : a[k] + n[k]], words[b[k] : b[k] + m[k]])
+    most = np.maximum(n, m)
+    plain = np.ones(len(doc), bool)
+    plain[of_step[odd | (most - equal > BREAK)]] = False
+    same, total = (np.bincount(of_step, np.where(overlap, dy, SEED + c), len(doc)).astype(np.int64) + SEED for c in (equal, most))
 
-    def between(self, lo: int, hi: int) -> tuple[np.ndarray, int]:
-        """(words, place of the first) from ``lo`` to ``hi`` or the text's end; all tiles between must be here."""
-        lo = max(lo, 0)
-        begin = int(self.ends[self.at[lo // TILE]]) + lo % TILE
-        return self.words[begin : begin + hi - lo], lo
+    found = []
+    k = np.flatnonzero(plain)
+    if len(k):
+        y, x = left[k] + ys[first[k]], right[k] + xs[first[k]]
+        back_y, back_x, back_same, back = _reach_many(words, y - 1, x - 1, y - left_begin[k], x - right_begin[k], -1)
+        y, x = left[k] + ys[end[k]] + SEED, right[k] + xs[end[k]] + SEED
+        more_y, more_x, more_same, more = _reach_many(words, y, x, left_stop[k] - y, right_stop[k] - x, 1)
+        found.append([k, ys[first[k]] - back_y, ys[end[k]] + SEED + more_y, xs[first[k]] - back_x, xs[end[k]] + SEED + more_x, same[k] + back_same + more_same, total[k] + back + more])
+    for k in np.flatnonzero(~plain).tolist():
+        lo, hi = cuts[k], cuts[k + 1]
+        pieces = align(words[left_begin[k] : left_stop[k]], words[right_begin[k] : right_stop[k]], ys[lo:hi] - low_y[k], xs[lo:hi] - low_x[k])
+        shift = np.array([low_y[k], low_y[k], low_x[k], low_x[k], 0, 0])
+        found.append([np.full(len(pieces), k), *(np.array(pieces) + shift).T])
+    k, y0, y1, x0, x1, same, total = (np.concatenate(c) for c in zip(*found))
+    doc, ref = doc[k], ref[k]
+    y0 = np.where((doc == ref) & (x1 < y1), np.maximum(y0, x1), y0)  # a text's later half may not reach into its own source
+    ok = (y1 - y0 >= CHAIN_WORDS) & (total > 0)
+    ok[ok] = same[ok] / total[ok] >= SIMILARITY
+    yield [doc[ok], y0[ok], y1[ok], ref[ok], x0[ok], x1[ok], same[ok], same[ok] / total[ok]]
 
 
-def _passages_of(doc: int, ref: int, left: _Words, right: _Words, ys: np.ndarray, xs: np.ndarray) -> Iterator[tuple]:
-    a, from_y = left.between(int(ys[0]) - MARGIN, int(ys[-1]) + SEED + MARGIN)
-    b, from_x = right.between(int(xs[0]) - MARGIN, int(xs[-1]) + SEED + MARGIN)
-    for y0, y1, x0, x1, same, total in align(a, b, ys - from_y, xs - from_x):
-        y0, y1, x0, x1 = y0 + from_y, y1 + from_y, x0 + from_x, x1 + from_x
-        if doc == ref:
-            y0 = max(y0, x1) if x1 < y1 else y0  # a text's later half may not reach into its own source
-        if y1 - y0 >= CHAIN_WORDS and total and same / total >= SIMILARITY:
-            yield doc, y0, y1, ref, x0, x1, same, same / total
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of groups, some of them at a time."""
+    held: list[pa.RecordBatch] = []
 
+    def passages() -> Iterator[pa.RecordBatch]:
+        for columns in _aligned_groups(pa.Table.from_batches(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _PIECE_TYPES)], ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "matched", "identity"])
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The passages of each group: its own tiles (side 0), those of its sources (1) and the chains between them (2)."""
-    rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "matched", "identity"])
-        rows.clear()
-        return out
-
-    for group in grouped(batches, 2):
-        doc = group.column("doc")[0].as_py()
-        side, of = group.column("side").to_numpy(), group.column("of").to_numpy()
-        tile, words = group.column("tile").to_numpy(), group.column("words").to_pylist()
-        begins = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (of[1:] != of[:-1])])
-        left, sources = None, {}
-        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(side)]):
-            if side[lo] == 2:
-                continue
-            found = _Words(tile[lo:hi].tolist(), words[lo:hi])
-            if side[lo]:
-                sources[int(of[lo])] = found
-            else:
-                left = found
-        first = int(np.searchsorted(side, 2))
-        chains = group.slice(first)
-        for ref, ys, xs in zip(of[first:].tolist(), chains.column("ys"), chains.column("xs")):
-            rows.extend(_passages_of(doc, ref, left, sources[ref], ys.values.to_numpy().astype(np.int64), xs.values.to_numpy().astype(np.int64)))
-            if len(rows) >= 5000:
-                yield flush()
-    if rows:
-        yield flush()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.flatnonzero((doc[1:] != doc[:-1]) | (part[1:] != part[:-1])) + 1
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (doc[0], part[0]):
+            new = np.r_[0, new]
+        if len(new):
+            held.append(batch.slice(0, int(new[-1])))
+            yield from passages()
+            held = [batch.slice(int(new[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield from passages()
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -642,20 +850,33 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     have ``MIN_WORDS`` or more.  Null and empty texts have no passages; rows without a
     doc_id take no part; of rows that repeat a doc_id the smallest text counts.
     """
-    rows = _unique(docs)
-    found = rows.mapInArrow(_seeded, "h long, doc long, pos int, before int, sides long, wide long").repartition("h").sortWithinPartitions("h", "doc")
-    links = found.mapInArrow(_linked_and_many, "doc long, ref long, pos int, at int, agree int, sides long, wide long").repartition("doc").sortWithinPartitions("doc", "ref", "pos")
-    found = checkpoint(links.mapInArrow(_chained, _CHAIN_TYPES))
+    rows, bits = _unique(docs), _bits(docs.sparkSession)
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _seeded(batches, bits)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _linked_and_many(batches, bits)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _bundles(_placed(batches), bits, _PLACED)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _bundles(_apart(batches), bits, _LINKED)
+
+    links = checkpoint(_dealt(rows.mapInArrow(seeded, _BUNDLES)).mapInArrow(linked, _BUNDLES))
+    release(docs.sparkSession)  # the shuffle of the seeds
+    found = checkpoint(_dealt(links).mapInArrow(_chained, _CHAIN_TYPES))
     del links
-    release(docs.sparkSession)  # the shuffles of the seeds and links
+    release(docs.sparkSession)  # the links and their shuffle
     pieces = checkpoint(_pieces(rows, found.where("hs is null").select(_CHAINS)))
+    release(docs.sparkSession)  # the shuffles of the texts and tiles
     spans = pieces.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start_word", "end_word", "ref_doc_id", "ref_start", "ref_end")).alias("spans"))
     many = found.where("hs is not null").select("doc", "ys", "hs", "ss", "ws")
     many = many.join(spans.hint("merge"), many["doc"] == spans["of"], "left").select("doc", "ys", "hs", "ss", "ws", "spans")
-    placed = many.mapInArrow(_placed, "h long, doc long, pos int, sides long, wide long, ref long, x0 int, x1 int").repartition("h").sortWithinPartitions("h", "doc", "pos")
-    links = placed.mapInArrow(_apart, "doc long, ref long, pos int, at int, agree int").repartition("doc").sortWithinPartitions("doc", "ref", "pos")
+    links = _dealt(_dealt(many.mapInArrow(placed, _BUNDLES)).mapInArrow(apart, _BUNDLES))
     chains = checkpoint(links.mapInArrow(_chained, _CHAIN_TYPES).select(_CHAINS))
-    del found, spans, many, placed, links
+    del found, spans, many, links
     release(docs.sparkSession)
     if not chains.isEmpty():
         pieces = pieces.unionByName(_pieces(rows, chains)).distinct()
