@@ -471,6 +471,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _around(parts: list[np.ndarray], has: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words around the occurrences ``a`` are around ``b`` too, in their places or one beside."""
+    count = 0
+    for part, own in zip(parts, has):
+        x, y = part[a], part[b]
+        count = count + np.bitwise_count(own[a] & ~(_marks(x ^ y) & _marks(x ^ (y << np.uint64(4))) & _marks(x ^ (y >> np.uint64(4)))))
+    return count
+
+
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The links of all occurrences of a seed whose surroundings agree and that no passage has brought together; dealt bundles of ``_placed``."""
     for _, (h, doc, pos, sides, wide, ref, x0, x1) in _opened(batches, (0, 1, 2)):
@@ -483,6 +492,9 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         half, low = np.uint64(4 * SIDE), np.uint64((1 << 4 * SIDE) - 1)
         parts = [(wide & low) | sides << half, (sides >> half) | (wide >> half << half)]
         has, has_parts = _marks(sides), [_marks(c) for c in parts]
+        # how many words are around each occurrence, and at how many places there is one or one beside
+        words = sum(np.bitwise_count(c) for c in has_parts)
+        near = sum(np.bitwise_count(c | c << np.uint64(4) | c >> np.uint64(4)) for c in has_parts)
         starts = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(starts) - 1
         docs, dense = np.unique(doc, return_inverse=True)
@@ -500,13 +512,14 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             top, text = root[lo:hi], doc[lo:hi]
             names, sizes = np.unique(top, return_counts=True)
             large = top == names[sizes.argmax()]
-            rest = np.flatnonzero(~large)  # pairs within the largest class are none
-            others = np.r_[np.flatnonzero(large), rest]
-            few, around_it, ones = len(others) - len(rest), sides[lo:hi], has[lo:hi]
-            step = max(1, COMPARED // (hi - lo))
+            # pairs within the largest class are none, nor those of an occurrence with too few words around
+            rest = np.flatnonzero(~large & (words[lo:hi] >= WIDE_NEAR))
+            others = np.r_[np.flatnonzero(large & (near[lo:hi] >= WIDE_NEAR)), np.flatnonzero(~large & (near[lo:hi] >= WIDE_NEAR))]
+            few, around_it, ones = int((large[others]).sum()), sides[lo:hi], has[lo:hi]
+            step = max(1, COMPARED // max(1, len(others)))
             for m in range(0, len(rest), step):
                 some = rest[m : m + step]
-                with_ = others[: few + m + len(some)]
+                with_ = others[: few + int(np.searchsorted(others[few:], some[-1], "right"))]
                 # words that agree of all pairs at once, as in _agreeing, those without a word left out
                 unlike = around_it[some, None] ^ around_it[with_]
                 unlike |= unlike >> np.uint64(2)
@@ -514,16 +527,15 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
                 np.invert(unlike, out=unlike)
                 unlike &= ones[some, None]
                 agree = np.bitwise_count(unlike)
-                i, j = np.nonzero(agree >= NEAR)
+                passed = agree >= NEAR
+                if 4 * np.count_nonzero(passed) > passed.size:  # most seeds have few such pairs, which are taken out first
+                    passed &= _around(parts, has_parts, lo + some[:, None], lo + with_) >= WIDE_NEAR
+                i, j = np.nonzero(passed)
                 agree = agree[i, j]
                 a, b = some[i], with_[j]
                 ok = np.flatnonzero((top[a] != top[b]) & (text[a] != text[b]) & (large[b] | (b < a)))
                 a, b, agree = lo + a[ok], lo + b[ok], agree[ok]
-                around = np.zeros(len(a), np.int64)
-                for part, own in zip(parts, has_parts):
-                    x, y = part[a], part[b]
-                    around += np.bitwise_count(own[a] & ~(_marks(x ^ y) & _marks(x ^ (y << np.uint64(4))) & _marks(x ^ (y >> np.uint64(4)))))
-                ok = around >= WIDE_NEAR
+                ok = _around(parts, has_parts, a, b) >= WIDE_NEAR
                 late, early = np.maximum(a[ok], b[ok]), np.minimum(a[ok], b[ok])
                 held.append((doc[late], doc[early], pos[late], pos[early], agree[ok].astype(np.int32)))
                 count += len(late)
